@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op3_pack
+from .token_files import op2_token_files
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op3_pack": op3_pack,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
