@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .quality_rules import OP4_SQL, op4_quality_rules
 from .packing import op3_pack
 from .token_files import op2_token_files
 
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_pack": op3_pack,
+    "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_quality_rules": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
