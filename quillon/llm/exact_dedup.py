@@ -63,7 +63,7 @@ def exact_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
         g = groups.select(*[F.col(k).alias(f"g_{k}") for k in keys], "size", "least", "tie_max")
         consumed += width
         joined = dealt.join(
-            g,
+            g.hint("merge"),  # the same plan at every size: texts move once a round, by their next block
             (F.col("n") == F.col("g_n")) & F.col("gid").eqNullSafe(F.col("g_gid")) & (F.col("tie_g") == F.col("g_tie_g")) & (F.col("block") == F.col("g_block")),
             "left",
         )
