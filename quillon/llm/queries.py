@@ -6,10 +6,12 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .packing import op3_pack
 from .token_files import op2_token_files
+from .toxicity import op1_toxicity
 from .warc import op5_warc
 from .word_bpe import op7_word_bpe
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_files": op2_token_files,
     "op3_pack": op3_pack,
     "op4_quality_rules": op4_quality_rules,
