@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .html_text import op8_html_text
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .packing import op3_pack
 from .token_files import op2_token_files
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_word_bpe": op7_word_bpe,
+    "op8_html_text": op8_html_text,
 }
 
 ORACLE_SQL = {
