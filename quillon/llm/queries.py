@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op8_html_text
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .near_dedup import op10_near_dedup
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .packing import op3_pack
 from .token_files import op2_token_files
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_word_bpe": op7_word_bpe,
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
