@@ -33,7 +33,7 @@ def int_parts(x: Column) -> tuple[Column, Column]:
 
 def name_bytes(name: Column) -> Column:
     """Bytes that order names by segment: the separator sorts before every character, and names have no NUL."""
-    return F.encode(F.translate(name, "/", "\0"), "UTF-8")
+    return F.encode(F.replace(name, F.lit("/"), F.lit("\0")), "UTF-8")
 
 
 def typed_key(col: Column, kind: str) -> Column:
