@@ -5,7 +5,7 @@ between them, letters repeated, or the whole word spelt out with spaces. Its pos
 under a character trigram model finds the likeliest. A word of letters without such signs has one reading, itself. A
 logistic model over the beginnings of the restored words then scores the text.
 
-Corpus statistics: trigram counts of every word of every text, over a fixed alphabet of 64 classes, so the model has a fixed
+Corpus statistics: trigram counts of every clean word (letters only) of every text, over a fixed alphabet of 64 classes, so the model has a fixed
 size while what is counted grows with the input. The classifier is fitted on ``TRAIN_ROWS`` labelled rows at most,
 picked by hash; its features are chosen by counts over those rows. The sample's ids are few enough to broadcast, so no
 text is shuffled. Scoring is one scan; a worker keeps seen words up to a bound.
@@ -129,8 +129,9 @@ class CharacterModel:
 
 #: A sign of the channel within a word: a digit or mark before a later letter, or a letter three times in a row.
 _NOISY = re.compile(r"[^\w\s].*[^\W\d_]|[\d_].*[^\W\d_]|[^\W\d_].*\d|([^\W\d_])\1\1", re.DOTALL)
+_CLEAN = r"\A\p{L}+[.,;:!?]*\z"
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_TRAIL = re.compile(r"[^\w$@!|+(€£¥§*]+$|([^\w])\1+$")
+_TRAIL = re.compile(r"(?<=[^\W\d_]{3})\d{3,}$|[^\w$@!|+(€£¥§*]+$|([^\w])\1+$")
 
 
 class Restorer:
@@ -187,6 +188,14 @@ class Words:
             self.of_kept.extend(self._value(w) for w in new.to_pylist())
         return out
 
+    def spelt_words(self, run: str) -> list[str]:
+        """The words of a spelt-out run as restored, and the whole known words that stand anywhere in it."""
+        words = self.restorer.spelt(run)
+        if self.known is not None:
+            joined, longest = "".join(words), max((len(f) for f in self.known), default=1) - 1
+            words += [joined[i:j] for i in range(len(joined)) for j in range(i + PREFIXES[0], min(len(joined), i + longest) + 1) if joined[i:j] + "$" in self.known]
+        return words
+
     def texts(self, texts: pa.Array) -> list[set]:
         """The features of each text."""
         for c in "\t\n\x0b\x0c\r":
@@ -216,13 +225,13 @@ class Words:
             words = flat.dictionary.to_pylist() if len(long) else []
             for a, b in zip(run[long].tolist(), stop[long].tolist(), strict=True):
                 spelt = "".join(words[c] for c in codes[a : b + 1].tolist())
-                for word in self.restorer.spelt(spelt):
+                for word in self.spelt_words(spelt):
                     out[int(np.searchsorted(offsets, a, "right")) - 1].update(self._features(word))
         return out
 
 
 def corpus_trigrams(df: DataFrame) -> np.ndarray:
-    """Trigram counts of all words of all texts; the driver gets one number per trigram of classes at most."""
+    """Trigram counts of the clean words of all texts; the driver gets one number per trigram of classes at most."""
 
     def run(batches):
         total = np.zeros(CLASSES**3)
@@ -231,7 +240,9 @@ def corpus_trigrams(df: DataFrame) -> np.ndarray:
             for c in "\t\n\x0b\x0c\r":
                 texts = pc.replace_substring(texts, c, " ")
             counts = pc.split_pattern(texts, " ").flatten().value_counts()
-            total += trigram_counts(counts.field(0).to_pylist(), counts.field(1).to_numpy())
+            # clean words only: what a noisy channel's source may say
+            counts = counts.filter(pc.match_substring_regex(counts.field(0), _CLEAN))
+            total += trigram_counts(pc.utf8_rtrim(counts.field(0), ".,;:!?").to_pylist(), counts.field(1).to_numpy())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], names=["gram", "n"])
 
