@@ -10,8 +10,9 @@ No step makes all pairs of a group:
 2. In each bucket every class is compared with the bucket's smallest one only (a star). Shingle sets are compared whole.
 3. Links make components, by alternating large and small stars.
 4. What a star cannot see is a class that lies outside the component of its bucket's centre but is linked with
-   another member. These leftovers alone are joined with their bucket, where components differ and a 256-bit sketch of
-   the signatures allows a similarity near the threshold (six standard errors under it), and compared exactly too.
+   another member. These leftovers alone are joined with their bucket, where components differ and a 2048-bit sketch (a
+   bit of each value of a longer signature) allows a similarity near the threshold, five standard errors under it. A pair
+   comes out of the first band it shares only, and is compared exactly too.
 
 Step 4 tests every pair of a bucket that is not already in one component, so with step 2 no link between candidates is lost.
 At the threshold a pair shares a band with probability 1 - 2e-5; with similarity the chance to miss falls to nothing.
@@ -34,9 +35,9 @@ from .shared import Work, read_table, whole
 
 SHINGLE, PERCENT = 5, 75
 #: Values of a signature, rows of a band, bands, and places of the second permutation (a power of two).
-K, ROWS, BANDS, PLACES = 256, 5, 40, 1 << 20
-#: Similarity that the sketch must allow before a leftover pair is compared.
-SKETCH_LEAST = 0.5
+K, ROWS, BANDS, PLACES = 200, 5, 40, 1 << 20
+#: Bits of the sketch of a class that meets another, and the similarity that it must allow: 0.75 less five standard errors.
+SKETCH, SKETCH_LEAST = 2048, 0.677
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 _TABLE: list[np.ndarray] = []
@@ -48,12 +49,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def table_rows() -> np.ndarray:
-    """Row p: the second permutation at places p, p + 1, ... p + K - 1, around the circle."""
+def table_rows(width: int = K) -> np.ndarray:
+    """Row p: the second permutation at places p, p + 1, ... p + width - 1, around the circle."""
     if not _TABLE:
         once = np.random.default_rng(20240229).permutation(PLACES).astype(np.uint32)
-        _TABLE.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([once, once[: K - 1]]), K))
-    return _TABLE[0]
+        _TABLE.append(np.concatenate([once, once[: SKETCH - 1]]))
+    return np.lib.stride_tricks.sliding_window_view(_TABLE[0][: PLACES + width - 1], width)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -92,14 +93,20 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    rows, at = table_rows(), (_mix(shingles * _M1) >> np.uint64(44)).astype(np.int64)
-    out = np.full(K, PLACES, np.uint32)
-    for k in range(0, len(at), 1024):
-        np.minimum(out, rows[at[k : k + 1024]].min(0), out=out)
+def signature(shingles: np.ndarray, width: int = K) -> np.ndarray:
+    rows, at = table_rows(width), (_mix(shingles * _M1) >> np.uint64(44)).astype(np.int64)
+    out = np.full(width, PLACES, np.uint32)
+    step = max(1, 250_000 // width)
+    for k in range(0, len(at), step):
+        np.minimum(out, rows[at[k : k + step]].min(0), out=out)
     return out
 
 
+def sketch(long_signature: np.ndarray) -> np.ndarray:
+    """The lowest bits of a signature of SKETCH values, 64 to a number."""
+    return np.packbits((long_signature & 1).astype(np.uint8)).view("<i8")
+
+
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; a key holds its band's number."""
     out = np.empty((len(signatures), BANDS), np.uint64)
@@ -112,7 +119,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """(doc_id, n, fa, fb, bands, bits) per row of (doc_id, text); the last four are null for an empty set."""
+    """(doc_id, n, fa, fb, bands) per row of (doc_id, text); the last three are null for an empty set."""
     id_type = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -123,12 +130,11 @@ def describe(df: DataFrame) -> DataFrame:
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             halves = [pa.array([(d >> shift & (1 << 64) - 1) - (1 << 63) for d in digests], pa.int64()) for shift in (0, 64)]
             sigs = np.array([signature(s) for s in sets]).reshape(-1, K)
-            bits = np.packbits((sigs & 1).astype(np.uint8), axis=1).view("<i8").reshape(-1)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * w), pa.array(v)) for w, v in ((BANDS, band_keys(sigs).astype(np.int64).reshape(-1)), (K // 64, bits))]
-            columns = [pc.if_else(none, pa.scalar(None, c.type), c) for c in (*halves, *lists)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *columns], names=["doc_id", "n", "fa", "fb", "bands", "bits"])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sigs).astype(np.int64).reshape(-1)))
+            columns = [pc.if_else(none, pa.scalar(None, c.type), c) for c in (*halves, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *columns], names=["doc_id", "n", "fa", "fb", "bands"])
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, fa long, fb long, bands array<long>, bits array<long>")
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, fa long, fb long, bands array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,11 +198,10 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     groups, _ = work.table(groups.withColumn("node", F.coalesce(F.col("least").cast("long"), ghost)), "classes")
     g = groups.select(F.col("fa").alias("g_fa"), F.col("fb").alias("g_fb"), "node", "least").hint("merge")
     same = (F.col("fa") == F.col("g_fa")) & (F.col("fb") == F.col("g_fb"))
-    firsts = described.join(g, same).filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "n", "bands", "bits")
+    firsts = described.join(g, same).filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "n", "bands")
 
     # buckets of two classes or more, with their centre
-    rows = firsts.select("node", F.explode("bands").alias("key")).distinct()
-    rows, _ = work.table(rows, "bands")
+    rows, _ = work.table(firsts.select("node", F.explode("bands").alias("key")), "bands")
     stars, _ = work.table(rows.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "stars")
     members, _ = work.table(rows.join(stars.select(F.col("key").alias("s_key"), "centre").hint("merge"), F.col("key") == F.col("s_key")).select("key", "node", "centre"), "members")
     pairs, _ = work.table(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
@@ -209,12 +214,16 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     def make_sets(batches):
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            longs = [signature(s, SKETCH) for s in sets]  # a plain signature is the start of a long one
+            bits, keys = np.concatenate([sketch(x) for x in longs]), band_keys(np.array([x[:K] for x in longs])).astype(np.int64).reshape(-1)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * w), pa.array(v)) for w, v in ((SKETCH // 64, bits), (BANDS, keys))]
+            raw = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), raw, *lists], names=["node", "n", "shingles", "bits", "bands"])
 
     with_id = docs.join(ids.filter("i_id IS NOT NULL").hint("merge"), F.col("doc_id") == F.col("i_id")).select("i_node", "text")
     without = docs.filter("doc_id IS NULL")
     ghosts = without.join(describe_keys(without).hint("merge"), F.xxhash64("text") == F.col("d_h")).join(ids.filter("i_id IS NULL").hint("merge"), F.col("d_fa") == F.col("i_fa")).select("i_node", "text")
-    sets, _ = work.table(with_id.unionByName(ghosts).dropDuplicates(["i_node"]).mapInArrow(make_sets, "node long, shingles binary"), "sets")
+    sets, _ = work.table(with_id.unionByName(ghosts).dropDuplicates(["i_node"]).mapInArrow(make_sets, "node long, n long, shingles binary, bits array<long>, bands array<long>"), "sets")
 
     edges, _ = work.table(_linked(pairs, sets), "links")
     labels, _ = work.table(components(edges, work), "labels")
@@ -225,19 +234,21 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     known = known.join(lab("c"), F.col("centre") == F.col("c_n"), "left").withColumn("of_centre", F.coalesce("c_l", "centre")).select("key", "node", "centre", "label", "of_centre")
     known, _ = work.table(known, "known")
     open_keys, _ = work.table(known.groupBy("key").agg(F.max(F.col("label") != F.col("of_centre")).alias("open"), F.count(F.lit(1)).alias("size")).filter("open AND size > 2").select(F.col("key").alias("o_key")), "open")
-    facts = firsts.select(F.col("node").alias("f_n"), "n", "bits")
+    facts = sets.select(F.col("node").alias("f_n"), "n", "bits", "bands")
     left = known.join(open_keys.hint("merge"), F.col("key") == F.col("o_key")).filter("node <> centre").join(facts.hint("merge"), F.col("node") == F.col("f_n"))
-    left, _ = work.table(left.select("key", "node", "label", "of_centre", "n", "bits"), "leftovers")
-    r = left.filter("label <> of_centre").select(*[F.col(c).alias(f"r_{c}") for c in ("key", "node", "label", "n", "bits")])
-    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("r_bits", F.lit(i)))) for i in range(K // 64)), F.lit(0))
+    left, _ = work.table(left.select("key", "node", "label", "of_centre", "n", "bits", "bands"), "leftovers")
+    r = left.filter("label <> of_centre").select(*[F.col(c).alias(f"r_{c}") for c in ("key", "node", "label", "n", "bits", "bands")])
+    differ = F.aggregate(F.zip_with("bits", "r_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    shared = F.filter(F.zip_with("bands", "r_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     near = (
         (F.col("key") == F.col("r_key"))
         & (F.col("label") != F.col("r_label"))
         & ((F.col("label") == F.col("of_centre")) | (F.col("node") < F.col("r_node")))
         & (100 * F.least("n", "r_n") >= PERCENT * F.greatest("n", "r_n"))
-        & (differ <= K * (1 - SKETCH_LEAST) / 2)
+        & (differ <= SKETCH * (1 - SKETCH_LEAST) / 2)
+        & (F.get(shared, F.lit(0)) == F.col("key"))
     )
-    more, _ = work.table(left.join(r.hint("merge"), near).select(F.col("r_node").alias("a"), F.col("node").alias("b")).distinct(), "more-pairs")
+    more, _ = work.table(left.join(r.hint("merge"), near).select(F.col("r_node").alias("a"), F.col("node").alias("b")), "more-pairs")
     if not more.isEmpty():
         late, _ = work.table(_linked(more, sets), "late-links")
         if not late.isEmpty():

@@ -408,6 +408,8 @@ def test_circulant_signatures_estimate_similarity():
         b = np.concatenate([a[:k], rng.integers(0, 1 << 63, 800 - k, dtype=np.uint64)])
         est = (near_dedup.signature(a) == near_dedup.signature(b)).mean()
         assert abs(est - share) < 0.12
+        bits = np.bitwise_count(np.bitwise_xor(*(near_dedup.sketch(near_dedup.signature(x, near_dedup.SKETCH)) for x in (a, b))).view(np.uint64)).sum() / near_dedup.SKETCH
+        assert abs(1 - 2 * bits - share) < 0.08
     rows_ = near_dedup.table_rows()
     assert rows_[4][1:].tolist() == rows_[5][:-1].tolist() and rows_[-1][1:].tolist() == rows_[0][:-1].tolist(), "one table, shifted around a circle"
 
