@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices
 from .lexicon import Lexicon, Merges, compile_words
-from .shared import read_table, whole
+from .shared import Work, read_table, whole
 
 #: Words of the lexicon; pieces that a worker keeps between batches.
 LEXICON_WORDS, KEPT_PIECES = 100_000, 400_000
@@ -170,7 +170,11 @@ class WordBpe:
 
 
 def frequent_words(df: DataFrame, tokenizer: str, limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words of all texts, ties by the pieces' order; every text and every piece of it is counted."""
+    """The most frequent words of all texts, ``limit`` at most; every text and every piece of it is counted.
+
+    Only a histogram of the counts and the words over its cut reach the driver: pieces in bins of a sixteenth of a
+    doubling, down to the last bin that fits as a whole, so ties stay together.
+    """
 
     def run(batches):
         for batch in slices(batches, text=0):
@@ -181,7 +185,14 @@ def frequent_words(df: DataFrame, tokenizer: str, limit: int = LEXICON_WORDS) ->
             yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["piece", "n"])
 
     counts = df.select("text").mapInArrow(run, "piece string, n long").filter("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "piece").limit(limit).collect()
+    counts, _ = Work(df.sparkSession, "word-counts").table(counts.withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "counts")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r.bin):
+        total += r["count"]
+        if total > limit:
+            break
+        least = r.bin
+    top = [] if least is None else counts.filter(F.col("bin") >= least).orderBy(F.desc("n"), "piece").select("piece").collect()
     words: dict[bytes, None] = {}
     for ws in WordBpe(tokenizer).words_of([r.piece for r in top]):
         words.update(dict.fromkeys(ws))
