@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A word seen in a text is taken as a clean word sent through a noisy channel: letters replaced by look-alikes, marks put
-between them, letters repeated, or the whole word spelt out with spaces. Its possible readings form a lattice, and a Viterbi search
-under a character trigram model finds the likeliest. A word of letters without such signs has one reading, itself. A
+between them, letters repeated, or the word parted by spaces. Its possible readings form a lattice, and a Viterbi search
+under a character trigram model finds the likeliest. A word of letters, no two alike in a row, has one reading, itself. A
 logistic model over the beginnings of the restored words then scores the text.
 
 Corpus statistics: trigram counts of every clean word (letters only) of every text, over a fixed alphabet of 64 classes, so the model has a fixed
@@ -30,6 +30,8 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Words that a worker keeps between batches; beginnings of words that are features, by length.
 KEPT_WORDS, PREFIXES = 400_000, (3, 4, 5, 6, 7, 8)
+#: Characters of a piece that a space may have cut off a word, and of a run of such pieces that is read at once.
+SHORT, RUN = 4, 16
 
 # Characters that stand for letters.
 LOOKALIKES = {
@@ -84,12 +86,14 @@ class CharacterModel:
         three = (n + 20 * two) / (n.sum(2, keepdims=True) + 20)
         self.cost = (-np.log(three)).astype(np.float32).ravel().tolist()
 
-    def restore(self, word: str, spelt: bool = False) -> str:
+    def restore(self, word: str, spelt: bool = False, more: bool = False) -> str:
         """The likeliest reading of a word: the best path through its lattice. A spelt-out run may hold several words,
-        so a space may stand between any two of its characters."""
+        so a space may stand between any two of its characters. A space in ``word`` parts words or is dropped as a mark
+        is. With ``more`` the word may go on after its last character."""
         n, low, cost = len(word), word.lower(), self.cost
         if len(low) != n:
             low = word
+        number = _NUMBER.search(low)
         kinds = classes_of(low).tolist()
         # states at a place: (class before last, last class) -> (cost, text so far as a linked list)
         best: list[dict] = [{} for _ in range(n + 1)]
@@ -103,6 +107,16 @@ class CharacterModel:
             if run > 1 and x.isalpha():
                 reads += [(x, kinds[i], k, REPEAT) for k in range(2, run + 1)]
             mark = not x.isalnum()
+            if x == " ":
+                reads = []
+                for (a, b), (total, text) in best[i].items():
+                    total += cost[(a * CLASSES + b) * CLASSES]
+                    if (0, 0) not in best[i + 1] or total < best[i + 1][0, 0][0]:
+                        best[i + 1][0, 0] = (total, (text, " "))
+            if number and i == number.start():
+                for state, (total, text) in best[i].items():
+                    if state not in best[n] or total + DROP < best[n][state][0]:
+                        best[n][state] = (total + DROP, text)
             if spelt and i:
                 for (a, b), (total, text) in list(best[i].items()):
                     total += cost[(a * CLASSES + b) * CLASSES]
@@ -119,7 +133,7 @@ class CharacterModel:
                     if old is None or total + DROP < old[0]:
                         best[i + 1][a, b] = (total + DROP, text)
             best[i] = {}
-        _, text = min(((v + cost[(a * CLASSES + b) * CLASSES], t) for (a, b), (v, t) in best[n].items()), key=lambda p: p[0])
+        _, text = min(((v if more else v + cost[(a * CLASSES + b) * CLASSES], t) for (a, b), (v, t) in best[n].items()), key=lambda p: p[0])
         out = []
         while text:
             text, y = text
@@ -127,11 +141,13 @@ class CharacterModel:
         return "".join(reversed(out))
 
 
-#: A sign of the channel within a word: a digit or mark before a later letter, or a letter three times in a row.
-_NOISY = re.compile(r"[^\w\s].*[^\W\d_]|[\d_].*[^\W\d_]|[^\W\d_].*\d|([^\W\d_])\1\1", re.DOTALL)
+#: A sign of the channel: anything but letters, or a letter twice in a row.
+_NOISY = re.compile(r"[^\w]|[\d_]|([^\W\d_])\1", re.IGNORECASE)
 _CLEAN = r"\A\p{L}+[.,;:!?]*\z"
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_TRAIL = re.compile(r"(?<=[^\W\d_]{3})\d{3,}$|[^\w$@!|+(€£¥§*]+$|([^\w])\1+$")
+#: Marks at the end that stand for no letter; a number at the end.
+_TRAIL = re.compile(r"[^\w$@!|+(€£¥§*]+$")
+_NUMBER = re.compile(r"(?<=[^\W\d_]{3})\d{3,}$")
 
 
 class Restorer:
@@ -149,6 +165,14 @@ class Restorer:
         """The words of a run of single characters."""
         return [_EDGES.sub("", w).lower() for w in self.model.restore(run, spelt=True).split(" ")]
 
+    def joins(self, first: str, second: str) -> bool:
+        """Whether the second piece goes on the first one's word, whatever follows."""
+        return " " not in self.model.restore(f"{first} {second}", more=True)
+
+    def parted(self, pieces: str) -> str:
+        """The first word of short pieces with spaces between them."""
+        return _EDGES.sub("", self.model.restore(_TRAIL.sub("", pieces)).split(" ")[0]).lower()
+
 
 def features_of(word: str) -> list[str]:
     """A word's beginnings, and the word."""
@@ -163,11 +187,41 @@ class Words:
     def __init__(self, restorer: Restorer, known: dict[str, int] | None = None):
         self.restorer, self.known = restorer, known
         self.starts = {f[: PREFIXES[0]] for f in known} if known is not None else None
+        self.heads = {f[:k] for f in known if f.endswith("$") for k in range(1, len(f))} if known is not None else None
         self.kept = pa.array([], pa.string())
         self.of_kept: list = []
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.runs: dict[str, tuple] = {}
+
+    def _may_start(self, seen: str, ends: bool = True) -> bool:
+        """Whether any reading of a piece begins as a feature does, so that the lattice need not be built for the rest.
+        Where the word may go on after the piece, its readings can be shorter than a feature."""
+        low = seen.lower()
+        if self.starts is None or len(low) != len(seen):
+            return True
+        todo = [(0, "")]
+        while todo:
+            i, begun = todo.pop()
+            if len(begun) == PREFIXES[0]:
+                if begun in self.starts:
+                    return True
+                continue
+            if i == len(low):
+                if not ends:
+                    return True
+                continue
+            x, j = low[i], i + 1
+            todo.append((j, begun + x))
+            todo += [(j, begun + y) for y in LOOKALIKES.get(x, "")]
+            if not x.isalnum() or not (begun or x.isalpha()):
+                todo.append((j, begun))
+            while x.isalpha() and j < len(low) and low[j] == x:
+                j += 1
+                todo.append((j, begun + x))
+        return False
 
     def _value(self, seen: str):
-        return self._features(self.restorer.word(seen))
+        return self._features(self.restorer.word(seen)) if self._may_start(seen) else ()
 
     def _features(self, word: str):
         if self.known is None:
@@ -196,6 +250,40 @@ class Words:
             words += [joined[i:j] for i in range(len(joined)) for j in range(i + PREFIXES[0], min(len(joined), i + longest) + 1) if joined[i:j] + "$" in self.known]
         return words
 
+    def _may_join(self, first: str, second: str) -> bool:
+        """Whether a word of interest may start at the first piece and go on in the second."""
+        key = (first, second)
+        if key not in self.pairs:
+            if len(self.pairs) > KEPT_WORDS:
+                self.pairs.clear()
+            joined = first + second
+            found = self._may_start(joined, ends=False)
+            if found and self.known is not None and self.restorer.word(joined) in self.heads:
+                self.pairs[key] = True
+            else:
+                self.pairs[key] = found and self.restorer.joins(first, second)
+        return self.pairs[key]
+
+    def _parted(self, pieces: list[str]) -> tuple:
+        """The features of the word that the pieces start with, if it holds more than the first, and of known words that
+        fill the first few pieces."""
+        run = " ".join(pieces)
+        if run not in self.runs:
+            if len(self.runs) > KEPT_WORDS:
+                self.runs.clear()
+            words = {self.restorer.parted(run)} - {self.restorer.word(pieces[0])}
+            if self.known is not None:
+                for k in range(2, len(pieces) + 1):
+                    joined = _TRAIL.sub("", "".join(pieces[:k]))
+                    word = self.restorer.word(joined)
+                    if word + "$" in self.known:
+                        words.add(word)
+                    # a clean beginning stays as it is, whatever is put to it
+                    if word not in self.heads and not _NOISY.search(joined):
+                        break
+            self.runs[run] = tuple(f for w in words for f in self._features(w))
+        return self.runs[run]
+
     def texts(self, texts: pa.Array) -> list[set]:
         """The features of each text."""
         for c in "\t\n\x0b\x0c\r":
@@ -227,6 +315,24 @@ class Words:
                 spelt = "".join(words[c] for c in codes[a : b + 1].tolist())
                 for word in self.spelt_words(spelt):
                     out[int(np.searchsorted(offsets, a, "right")) - 1].update(self._features(word))
+        # words parted by spaces: neighbouring short pieces of a text
+        size = pc.utf8_length(pc.utf8_rtrim(flat.dictionary, ".,;:!?")).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero((pc.utf8_length(flat.dictionary).to_numpy(zero_copy_only=False) > 0)[codes])
+        piece, text = codes[at].astype(np.int64), np.searchsorted(offsets, at, "right") - 1
+        short = size[piece] <= SHORT
+        follows = np.append(short[:-1] & short[1:] & (text[:-1] == text[1:]), False)
+        first = np.flatnonzero(follows)
+        if len(first):
+            words = flat.dictionary.to_pylist()
+            pairs, which = np.unique(piece[first] * len(words) + piece[first + 1], return_inverse=True)
+            joins = np.fromiter((self._may_join(words[p // len(words)], words[p % len(words)]) for p in pairs.tolist()), bool, len(pairs))
+            for a in first[joins[which]].tolist():
+                run = [words[piece[a]]]
+                total = len(run[0])
+                while follows[a + len(run) - 1] and total < RUN:
+                    run.append(words[piece[a + len(run)]])
+                    total += len(run[-1])
+                out[text[a]].update(self._parted(run))
         return out
 
 

@@ -450,6 +450,20 @@ def test_restoring():
     assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == brute
 
 
+def test_restoring_reaches_every_sign_of_the_channel():
+    text = ("you stupid idiot loser what a moron the total scum and trash ass are here with us today it is pathetic and worthless " + " ".join(PROSE) + " ") * 30
+    words = Counter(text.split())
+    r = toxicity.Restorer(toxicity.CharacterModel(toxicity.trigram_counts(list(words), np.array(list(words.values())))))
+    want = {"mmoron": "moron", "lloser": "loser", "sstupid": "stupid", "iidiioott": "idiot", "ttrraasshh": "trash", "idio+": "idiot", "455": "ass", "moron123": "moron", "worthless": "worthless"}
+    assert {w: r.word(w) for w in want} == want
+    found = toxicity.Words(r, {f: i for i, f in enumerate(["moron$", "stupid$", "loser$", "scum$"])})
+    texts = ["a mo ron here", "st up id.", "l os er", "m0 r0n", "sc um", "mo", "ron"]
+    assert found.texts(pa.array(texts)) == [{0}, {1}, {2}, {0}, {3}, set(), set()]
+    assert found.texts(pa.array([" ".join(PROSE)])) == [set()]
+    plain = toxicity.Words(r)
+    assert all(found._may_start(w) for w in ("mm0ron", "#m.oron", "5tupid", "1oser")) and "moron$" in plain.texts(pa.array(["mo ron"]))[0]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     bad, data, labels = ["moron", "idiot", "scum"], [], []
