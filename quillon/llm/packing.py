@@ -3,8 +3,7 @@
 A piece of L tokens costs ``LINEAR * L + QUADRATIC * L * L`` (projections, and attention within the document). Every map
 task packs windows of its own documents, so nothing is shuffled and a window's memory is bounded by bytes of text, not by
 rows, keys or sources. In a window each document first gives off its full sequences. The tails, longest first, go to the
-sequence of lowest cost that has room; where the few cheapest with room cannot hold a tail whole, it is cut at the
-cheapest. A window opens as many full sequences as its tokens fill; the rest of the tokens go to sequences whose lengths
+sequence of lowest cost that has room for the whole; only where none has, a tail is cut, at the cheapest. A window opens as many full sequences as its tokens fill; the rest of the tokens go to sequences whose lengths
 are the powers of two that sum to it. So every sequence is exactly full or a power of two, and none needs padding.
 """
 
@@ -23,16 +22,51 @@ from .shared import read_table
 SEQUENCE, END_ID = 2048, 1
 #: Cost per token and per token pair, in units of a token's projections.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: So many of the cheapest sequences are tried before a tail is cut.
-TRIES = 8
 #: Sequences that one task can number.
 PER_TASK = 1 << 36
+_NONE = (float("inf"), -1)
 
 
 def cost(length: int) -> float:
     return LINEAR * length + QUADRATIC * length * length
 
 
+class Cheapest:
+    """Sequences by free tokens, each number of free tokens with a heap of (cost, sequence), under a tree of minima."""
+
+    def __init__(self, most: int):
+        self.size = 1 << most.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.least: list[tuple[float, int]] = [_NONE] * (2 * self.size)
+
+    def _renew(self, free: int) -> None:
+        k = self.size + free
+        self.least[k] = self.heaps[free][0] if self.heaps[free] else _NONE
+        while k > 1:
+            k >>= 1
+            self.least[k] = min(self.least[2 * k], self.least[2 * k + 1])
+
+    def add(self, free: int, used: float, i: int) -> None:
+        heapq.heappush(self.heaps[free], (used, i))
+        if self.heaps[free][0] == (used, i):
+            self._renew(free)
+
+    def find(self, need: int) -> int:
+        """The sequence of lowest cost among those with ``need`` free tokens or more; -1 where there is none."""
+        k = self.size + need
+        best = self.least[k]
+        while k > 1:
+            if not k & 1:
+                best = min(best, self.least[k + 1])
+            k >>= 1
+        return best[1]
+
+    def take(self, free: int) -> None:
+        """Removes the cheapest sequence of ``free`` free tokens."""
+        heapq.heappop(self.heaps[free])
+        self._renew(free)
+
+
 def assign(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
     """Pieces (document, start, length, sequence, offset) of a window as rows, and each sequence's cost.
 
@@ -48,31 +82,25 @@ def assign(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, n
     room = [sequence] * (total // sequence) + [1 << b for b in reversed(range(sequence.bit_length())) if total % sequence >> b & 1]
     first, full = len(costs), total // sequence
     free, used = list(room), [0.0] * len(room)
-    heap, small = [(0.0, i) for i in range(full)], list(range(full, len(room)))
+    # the short sequences take what no full one can hold
+    large, small = Cheapest(sequence), Cheapest(sequence)
+    for i, n in enumerate(room):
+        (large if i < full else small).add(n, 0.0, i)
     for d in np.argsort(-tails, kind="stable"):
         left, at = int(tails[d]), int(lengths[d] - tails[d])
         if not left:
             break
         while left:
-            if not heap:
-                heap = [(used[i], i) for i in small[:1]]
-                small = small[1:]
-            tried = []
-            while heap and len(tried) < TRIES:
-                tried.append(heapq.heappop(heap))
-                if free[tried[-1][1]] >= left:
-                    break
-            k = len(tried) - 1 if free[tried[-1][1]] >= left else 0
-            i = tried.pop(k)[1]
+            i = next(i for x, need in ((large, left), (small, left), (large, 1), (small, 1)) if (i := x.find(need)) >= 0)
             n = min(left, free[i])
             rows.append((d, at, n, first + i, room[i] - free[i]))
+            among = large if i < full else small
+            among.take(free[i])
             free[i] -= n
             used[i] += cost(n)
             at, left = at + n, left - n
-            for x in tried:
-                heapq.heappush(heap, x)
             if free[i]:
-                heapq.heappush(heap, (used[i], i))
+                among.add(free[i], used[i], i)
     return np.array(rows, np.int64).reshape(-1, 5), np.array(costs + used)
 
 

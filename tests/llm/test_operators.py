@@ -179,6 +179,27 @@ def test_packing_balances_cost():
     assert packing.assign(np.array([], np.int64))[0].shape == (0, 5)
 
 
+def test_packing_cuts_only_what_no_sequence_holds():
+    rng = np.random.default_rng(2)
+    for lengths in (rng.integers(1, 1500, 3000), rng.integers(1, 5000, 1000), np.minimum(2047, rng.geometric(0.004, 3000))):
+        rows_, costs = packing.assign(lengths)
+        room, used = np.bincount(rows_[:, 3], rows_[:, 2]), np.zeros(len(costs))
+        whole, n_full = lengths // 2048, int((lengths // 2048).sum())
+        free, n_cut = room.copy(), 0
+        free[:n_full], done = 0, (lengths - lengths % 2048).copy()
+        full = room == 2048
+        for d, start, n, s, _ in rows_[n_full:].tolist():
+            left = lengths[d] - done[d]
+            fits = np.flatnonzero(full & (free >= left))
+            if n < left:
+                n_cut += 1
+                assert free.max() < left, "a tail is cut although a sequence has room"
+            elif full[s]:
+                assert used[s] == used[fits].min()
+            done[d], free[s], used[s] = done[d] + n, free[s] - n, used[s] + packing.cost(n)
+        assert (done == lengths).all() and not free.any() and n_cut < len(lengths) and whole.sum() == n_full
+
+
 def test_word_bpe(spark, docs, empty):
     got, tok = word_bpe.encode_words(docs, WORD, limit=40).collect(), Tokenizer.from_file(WORD)
     want = Counter()
