@@ -3,8 +3,9 @@
 A piece of L tokens costs ``LINEAR * L + QUADRATIC * L * L`` (projections, and attention within the document). Every map
 task packs windows of its own documents, so nothing is shuffled and a window's memory is bounded by bytes of text, not by
 rows, keys or sources. In a window each document first gives off its full sequences. The tails, longest first, go to the
-sequence of lowest cost that has room for the whole; only where none has, a tail is cut, at the cheapest. A window opens as many full sequences as its tokens fill; the rest of the tokens go to sequences whose lengths
-are the powers of two that sum to it. So every sequence is exactly full or a power of two, and none needs padding.
+sequence of lowest cost that has room for the whole; only where none has, a tail is cut, at the cheapest. A window opens as many full sequences as its tokens fill; the rest, the end of its shortest tails, goes to the task's
+next window. The rest of a task's last window goes to sequences whose lengths are the powers of two that sum to it. So
+every sequence is exactly full or a power of two, at most eleven of a task are short, and none needs padding.
 """
 
 from __future__ import annotations
@@ -67,10 +68,11 @@ class Cheapest:
         self._renew(free)
 
 
-def assign(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
+def assign(lengths: np.ndarray, sequence: int = SEQUENCE, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Pieces (document, start, length, sequence, offset) of a window as rows, and each sequence's cost.
 
-    ``lengths``: tokens of each document; zero gives no piece. Ties go to the earlier document and sequence.
+    ``lengths``: tokens of each document; zero gives no piece. Ties go to the earlier document and sequence. Where the
+    window is not the ``last``, there are full sequences only, and what they cannot hold has no piece.
     """
     rows, costs = [], []
     for d in np.flatnonzero(lengths >= sequence):
@@ -79,7 +81,7 @@ def assign(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, n
             costs.append(cost(sequence))
     tails = lengths % sequence
     total = int(tails.sum())
-    room = [sequence] * (total // sequence) + [1 << b for b in reversed(range(sequence.bit_length())) if total % sequence >> b & 1]
+    room = [sequence] * (total // sequence) + [1 << b for b in reversed(range(sequence.bit_length())) if last and total % sequence >> b & 1]
     first, full = len(costs), total // sequence
     free, used = list(room), [0.0] * len(room)
     # the short sequences take what no full one can hold
@@ -91,7 +93,9 @@ def assign(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, n
         if not left:
             break
         while left:
-            i = next(i for x, need in ((large, left), (small, left), (large, 1), (small, 1)) if (i := x.find(need)) >= 0)
+            i = next((i for x, need in ((large, left), (small, left), (large, 1), (small, 1)) if (i := x.find(need)) >= 0), -1)
+            if i < 0:
+                break
             n = min(left, free[i])
             rows.append((d, at, n, first + i, room[i] - free[i]))
             among = large if i < full else small
@@ -118,19 +122,22 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         from pyspark import TaskContext
 
         bpe, base = loaded(tokenizer), TaskContext.get().partitionId() * PER_TASK
-        for batch in slices(batches):
-            ids, counts = with_end(*bpe.encode(batch.column(1)), end_id)
+        # tokens that go to the next window: documents, tokens before them, tokens, all tokens of the document, ids
+        carried = None
+
+        def window(docs, before, counts, doc_tokens, ids, last):
+            nonlocal base, carried
             begins = np.cumsum(counts) - counts
-            rows, costs = assign(counts, sequence)
+            rows, costs = assign(counts, sequence, last)
             d, start, length, seq, offset = rows.T
             at = begins[d] + start
             flat = memoryview(ids.astype("<u4")).cast("B")
             columns = [
-                batch.column(0).take(pa.array(d)),
-                pa.array(start),
+                docs.take(pa.array(d)),
+                pa.array(before[d] + start),
                 pa.array(length),
                 pa.array([zlib.crc32(flat[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)], pa.int64()),
-                pa.array(counts[d]),
+                pa.array(doc_tokens[d]),
                 pa.array(base + seq),
                 pa.array(offset),
                 pa.array(costs[seq]),
@@ -138,8 +145,22 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             if with_ids:
                 whole = ids[np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(whole.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
             base += len(costs)
+            done = np.bincount(d, length, len(counts)).astype(np.int64)
+            rest = np.flatnonzero(done < counts)
+            n = (counts - done)[rest]
+            own = np.repeat(begins[rest] + done[rest] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            carried = (docs.take(pa.array(rest)), (before + done)[rest], n, doc_tokens[rest], ids[own])
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in slices(batches):
+            ids, counts = with_end(*bpe.encode(batch.column(1)), end_id)
+            new = (batch.column(0), np.zeros(len(counts), np.int64), counts, counts, ids)
+            if carried:
+                new = (pa.concat_arrays([carried[0], new[0]]), *(np.concatenate(x) for x in zip(carried[1:], new[1:], strict=True)))
+            yield window(*new, last=False)
+        if carried and len(carried[0]):
+            yield window(*carried, last=True)
 
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double" + ", ids array<int>" * with_ids
     names = [c.split(" ")[0] for c in schema.split(", ")]

@@ -200,6 +200,26 @@ def test_packing_cuts_only_what_no_sequence_holds():
         assert (done == lengths).all() and not free.any() and n_cut < len(lengths) and whole.sum() == n_full
 
 
+def test_packing_carries_a_windows_rest_on(spark):
+    df = spark.createDataFrame([(k, " ".join(PROSE[(k * j) % len(PROSE)] for j in range(30 + k % 70))) for k in range(400)], "doc_id long, text string").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = packing.pack(df, BYTE).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    room, tok = Counter(), Tokenizer.from_file(BYTE)
+    by_doc = defaultdict(list)
+    for r in got:
+        room[r.sequence_id] += r.length
+        by_doc[r.doc_id].append(r)
+    assert sum(n for n in room.values() if n < 2048) < 2048 < sum(room.values())
+    for i, t in df.collect():
+        pieces = sorted(by_doc[i], key=lambda r: r.start)
+        assert [r.start for r in pieces] == [sum(p.length for p in pieces[:k]) for k in range(len(pieces))]
+        assert [x for r in pieces for x in r.ids] == tok.encode(t, add_special_tokens=False).ids + [1] and all(r.doc_tokens == sum(p.length for p in pieces) for r in pieces)
+
+
 def test_word_bpe(spark, docs, empty):
     got, tok = word_bpe.encode_words(docs, WORD, limit=40).collect(), Tokenizer.from_file(WORD)
     want = Counter()
