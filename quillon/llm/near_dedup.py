@@ -14,7 +14,8 @@ No step makes all pairs of a group:
    bit of each value of a longer signature) allows a similarity near the threshold, five standard errors under it. A pair
    comes out of the first band it shares only, and is compared exactly too.
 
-Step 4 tests every pair of a bucket that is not already in one component, so with step 2 no link between candidates is lost.
+Step 4 tests every pair of a bucket that is not already in one component. The sketch may reject a pair that is a link, at
+the threshold with probability about 8e-7 (binomial, more for very large sets); no other link between candidates is lost.
 At the threshold a pair shares a band with probability 1 - 2e-5; with similarity the chance to miss falls to nothing.
 
 Scale: buckets, classes and stars are counted with map-side combine and joined back from written tables by plain sort-merge
