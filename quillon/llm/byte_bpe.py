@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import cache_of
+
 #: White space as the byte-level pattern knows it.
 _WS = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = rf"{_WS}{_WS}|\A{_WS}|{_WS}\z"
@@ -125,6 +127,7 @@ def loaded(path: str) -> ByteBpe:
     """The worker's encoder for a vocabulary file."""
     if path not in _LOADED:
         _LOADED[path] = ByteBpe(path)
+    cache_of("byte-bpe", _LOADED.clear)
     return _LOADED[path]
 
 

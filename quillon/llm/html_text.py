@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices
-from .shared import Work, read_table
+from .shared import Work, map_batches, read_table
 
 #: Composite importance under which a block goes, the weight of content, and the least share of pages and pages of a host.
 LOW, GAMMA = 0.2, 0.9
@@ -183,7 +183,7 @@ def style_tree(spark: SparkSession, pages: DataFrame, work: Work) -> DataFrame:
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["node"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array(out["feature"], pa.int64())], names=list(out))
 
-    found = pages.select("host", "html").mapInArrow(run, "host string, node long, kind int, feature long")
+    found = map_batches(pages.select("host", "html"), "html", run, "host string, node long, kind int, feature long")
     counts, _ = work.table(found.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 OR kind > 1"), "counts")
     hosts = counts.filter("kind = 2").select(F.col("host").alias("h_host"), F.col("k").alias("m"))
     counts = counts.join(hosts, F.col("host") == F.col("h_host")).filter(F.col("m") >= PAGES)
@@ -220,7 +220,7 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
                 removed.append(len(blocks) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_removed"])
 
-    return joined.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long, n_removed long")
+    return map_batches(joined, "html", run, f"page_id {id_type}, url string, text string, n_chars long, n_removed long")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices
-from .shared import Work, read_table, whole
+from .shared import Work, map_batches, read_table, whole
 
 SHINGLE, PERCENT = 5, 75
 #: Values of a signature, rows of a band, bands, and places of the second permutation (a power of two).
@@ -135,7 +135,7 @@ def describe(df: DataFrame) -> DataFrame:
             columns = [pc.if_else(none, pa.scalar(None, c.type), c) for c in (*halves, bands)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *columns], names=["doc_id", "n", "fa", "fb", "bands"])
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, fa long, fb long, bands array<long>")
+    return map_batches(df.select("doc_id", "text"), "near", run, f"doc_id {id_type}, n long, fa long, fb long, bands array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a_node"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b_node"), F.col("shingles").alias("sb"))
     joined = pairs.join(left.hint("merge"), F.col("a") == F.col("a_node")).join(right.hint("merge"), F.col("b") == F.col("b_node"))
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return map_batches(joined.select("a", "b", "sa", "sb"), "near", run, "a long, b long")
 
 
 def components(edges: DataFrame, work: Work) -> DataFrame:
@@ -224,7 +224,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     with_id = docs.join(ids.filter("i_id IS NOT NULL").hint("merge"), F.col("doc_id") == F.col("i_id")).select("i_node", "text")
     without = docs.filter("doc_id IS NULL")
     ghosts = without.join(describe_keys(without).hint("merge"), F.xxhash64("text") == F.col("d_h")).join(ids.filter("i_id IS NULL").hint("merge"), F.col("d_fa") == F.col("i_fa")).select("i_node", "text")
-    sets, _ = work.table(with_id.unionByName(ghosts).dropDuplicates(["i_node"]).mapInArrow(make_sets, "node long, n long, shingles binary, bits array<long>, bands array<long>"), "sets")
+    sets, _ = work.table(map_batches(with_id.unionByName(ghosts).dropDuplicates(["i_node"]), "near", make_sets, "node long, n long, shingles binary, bits array<long>, bands array<long>"), "sets")
 
     edges, _ = work.table(_linked(pairs, sets), "links")
     labels, _ = work.table(components(edges, work), "labels")
@@ -276,7 +276,7 @@ def describe_keys(docs: DataFrame) -> DataFrame:
             fa = [(xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1) - (1 << 63) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fa, pa.int64())], names=["d_h", "d_fa"])
 
-    return docs.select("text", F.xxhash64("text").alias("h")).dropDuplicates(["h"]).mapInArrow(run, "d_h long, d_fa long")
+    return map_batches(docs.select("text", F.xxhash64("text").alias("h")).dropDuplicates(["h"]), "near", run, "d_h long, d_fa long")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

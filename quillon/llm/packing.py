@@ -15,10 +15,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import loaded, slices, with_end
-from .shared import read_table
+from .shared import map_batches, read_table
 
 SEQUENCE, END_ID = 2048, 1
 #: Cost per token and per token pair, in units of a token's projections.
@@ -164,7 +164,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double" + ", ids array<int>" * with_ids
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    return df.select(f"`{id_col}`", f"`{text_col}`").toDF("doc_id", "text").selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return map_batches(docs, "byte-bpe", run, schema)
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: White space as every contract of this subpackage defines it: space, tab, LF, VT, FF, CR.
@@ -22,6 +27,73 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, at most (or one row).
+BATCH_BYTES = 16_000_000
+_BATCH_KEY, _CLEAN_KEY = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: The worker's caches by operator: how to forget them.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cache_of(operator: str, forget: Callable[[], None]) -> None:
+    """Names a cache that a worker keeps between tasks of ``operator``; it goes when the worker turns to another one."""
+    _CACHES[operator] = forget
+
+
+def forget_others(operator: str) -> None:
+    for name in [n for n in _CACHES if n != operator]:
+        _CACHES.pop(name)()
+
+
+def release() -> None:
+    """Gives freed memory of this worker back to the machine, since Spark keeps idle workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, operator: str, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, for workers that hold little memory once a task has ended."""
+    conf = df.sparkSession.conf
+    if not 0 < _bytes(conf.get(_BATCH_KEY)) <= BATCH_BYTES:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+    def held(batches):
+        forget_others(operator)
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(held, schema)
+
+
+def _bytes(text: str) -> int:
+    """A size of Spark's settings, as 4m or 67108864b, in bytes."""
+    text = text.strip().lower().removesuffix("b")
+    return int(float(text[:-1]) * 1024 ** ("kmgt".index(text[-1]) + 1)) if text[-1:] in "kmgt" and text else int(text or 0)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting for the queries that run inside, where this Spark knows it."""
+    before = spark.conf.get(key, None)
+    if before is None:
+        yield
+        return
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def shuffles_cleaned(spark: SparkSession):
+    """Shuffle files of the queries that run inside go as soon as each has ended: what they made is a written table."""
+    return setting(spark, _CLEAN_KEY, "true")
+
+
 class Work:
     """A folder of one operator run below the shared folder. Tables written here cut lineage and outlive lost executors."""
 
@@ -35,7 +107,8 @@ class Work:
     def table(self, df: DataFrame, name: str, by: list[str] | None = None) -> tuple[DataFrame, str]:
         """Writes ``df`` as Parquet and returns it reread, with its path."""
         path, writer = self.path(name), df.write
-        (writer.partitionBy(*by) if by else writer).parquet(path)
+        with shuffles_cleaned(self.spark):
+            (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:

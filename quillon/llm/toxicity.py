@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices
-from .shared import read_table, whole
+from .shared import map_batches, read_table, whole
 
 #: Labelled rows to fit on, features of the classifier, and documents a feature needs, at most and at least.
 TRAIN_ROWS, FEATURES, MIN_DOCS = 20_000, 3_000, 3
@@ -353,7 +353,7 @@ def corpus_trigrams(df: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], names=["gram", "n"])
 
     out = np.zeros(CLASSES**3)
-    for r in df.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in map_batches(df.select("text"), "toxicity", run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[r.gram] = r.n
     return out
 
@@ -426,7 +426,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, featur
         return Scorer(counts, {}, np.array([z]))
     rate = n_toxic / n
     gain = (F.col("toxic") * F.log((F.col("toxic") + rate) / ((F.col("toxic") + F.col("clean") + 1) * rate))).alias("gain")
-    per = train.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    per = map_batches(train, "toxicity", count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     top = per.filter(F.col("toxic") >= MIN_DOCS).select("f", gain).filter("gain > 2").orderBy(F.desc("gain"), "f").limit(features).collect()
     index = {r.f: i for i, r in enumerate(top)}
 
@@ -436,7 +436,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, featur
             found = [sorted(x) for x in words.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
-    rows = train.mapInArrow(gather, "toxic int, found array<int>").collect()  # TRAIN_ROWS at most
+    rows = map_batches(train, "toxicity", gather, "toxic int, found array<int>").collect()  # TRAIN_ROWS at most
     weights = _logistic([r.found for r in rows], np.array([float(r.toxic > 0) for r in rows]), len(index))
     return Scorer(counts, index, weights)
 
@@ -451,7 +451,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
             scores = [shared.value.score(x) for x in words.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")
+    out = map_batches(docs.select("doc_id", "text"), "toxicity", run, f"doc_id {id_type}, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 

@@ -21,7 +21,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Work, read_table
+from .shared import Work, map_batches, read_table
 
 DICT_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: The line separator of the writer: an empty skippable frame.
@@ -218,7 +218,7 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
         if pending:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(pending)], pa.binary())], names=["frames"])
 
-    out = rows.mapInArrow(run, "frames binary")
+    out = map_batches(rows, "warc", run, "frames binary")
     out.select(F.col("frames").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
@@ -244,7 +244,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 yield rows(found)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    return map_batches(files, "warc", run, schema)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

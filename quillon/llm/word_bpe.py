@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices
 from .lexicon import Lexicon, Merges, compile_words
-from .shared import Work, read_table, whole
+from .shared import Work, cache_of, map_batches, read_table, whole
 
 #: Words of the lexicon; pieces that a worker keeps between batches.
 LEXICON_WORDS, KEPT_PIECES = 100_000, 400_000
@@ -184,7 +184,7 @@ def frequent_words(df: DataFrame, tokenizer: str, limit: int = LEXICON_WORDS) ->
             counts = pc.split_pattern(texts, " ").flatten().value_counts()
             yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["piece", "n"])
 
-    counts = df.select("text").mapInArrow(run, "piece string, n long").filter("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = map_batches(df.select("text"), "word-counts", run, "piece string, n long").filter("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
     counts, _ = Work(df.sparkSession, "word-counts").table(counts.withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "counts")
     least, total = None, 0
     for r in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r.bin):
@@ -212,6 +212,7 @@ def _loaded(path: str, key: str, blob) -> WordBpe:
     if (path, key) not in _LOADED:
         _LOADED.clear()
         _LOADED[path, key] = WordBpe(path, blob())
+    cache_of("word-bpe", _LOADED.clear)
     return _LOADED[path, key]
 
 
@@ -238,7 +239,7 @@ def encode_words(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_text
     columns_of = [c.split(" ")[0] for c in schema.split(", ")]
-    return df.mapInArrow(run, schema)
+    return map_batches(df, "word-bpe", run, schema)
 
 
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
