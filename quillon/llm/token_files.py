@@ -1,17 +1,21 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-A first pass counts every id over all texts; the rank of an id by falling count is what is stored, so common ids take one
-byte. Four ranks share a control byte (two bits each: bytes less one); the ranks' bytes stand in a stream of their own,
-which numpy decodes by a table from control bytes to lengths.
+The rank of an id by falling count over all texts is what is stored, so common ids take one byte. Four ranks share a control
+byte (two bits each: bytes less one); the ranks' bytes stand in a stream of their own, which numpy decodes by a table from
+control bytes to lengths.
 
-A file is a run of blocks in ascending document order, files ascend too:
+Each text is encoded once. The first job deals texts by ranges of doc_id, encodes them in order and writes plain ids as a
+table, a row per block, with the shard's counts in its last one; their sum, a column read alone, gives the ranks. The
+second job maps ids to ranks block by block and writes the files.
 
-    magic "QVB1" | u32 shard | u32 documents | u64 ids | u32 control bytes | u32 data bytes | u32 table entries
-    table: u32 id of each rank (first block of a file only) | documents: i64 ids | u8 null flags | u32 lengths | control | data | "\\n"
+A shard is a range of doc_id and has a folder ``shard=N``. A file is a run of blocks of one shard in ascending document order:
+
+    magic "QVB2" | u32 shard | u32 block | u32 documents | u64 ids | u32 control bytes | u32 data bytes | u32 table entries
+    table: u32 id of each rank (first block of a file only) | documents: i64 ids | u8 null flags | u32 lengths | control | data | "\n"
 
 Blocks are written by Spark's text writer from binary values, so a task's files appear only once it has committed, on any
-store that Spark writes, and a lost executor costs a rerun of its tasks. Texts are dealt by ranges of doc_id, whose
-number follows the count of ids; the driver holds a table as long as the vocabulary and one total per file.
+store that Spark writes, and a lost executor costs a rerun of its tasks. The number of shards follows the bytes of the texts;
+the driver holds a table as long as the vocabulary and one total per shard.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .byte_bpe import loaded, slices, with_end
-from .shared import Work, read_table
+from .shared import Work, map_batches, read_table, setting, shuffles_cleaned
 
 END_ID = 0
-#: Ids of a file at most, where there are more than the session's number of shuffle partitions.
-FILE_IDS = 32_000_000
-_HEAD, _MAGIC = "<4sIIQIII", b"QVB1"
+#: Bytes of text of a shard, about, where there are more than the session's number of shuffle partitions.
+SHARD_BYTES = 64_000_000
+_HEAD, _MAGIC = "<4sIIIQIII", b"QVB2"
 #: For each control byte the bytes, less one, of its four values.
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
 
@@ -54,59 +58,101 @@ def vbyte_decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def id_counts(df: DataFrame, tokenizer: str, end_id: int = END_ID) -> dict[int, int]:
-    """How often each id occurs in the texts of all rows; as many entries as the vocabulary has, at most."""
+def encoded_blocks(df: DataFrame, tokenizer: str, end_id: int, shards: int) -> DataFrame:
+    """(shard, block, docs, nulls, lengths, ids, counts): the ids of all texts in ascending order of doc_id, as raw bytes of
+    little-endian numbers: 64, 8, 32, and 16 or 32 bits by the size of the vocabulary; 64 for counts by id, in a shard's last row."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        bpe, shard, block, held = loaded(tokenizer), TaskContext.get().partitionId(), 0, None
+        size = max(bpe.size, end_id + 1)
+        width, counts = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, "<i8")
+
+        def row(raw, counts=b""):
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in (*raw, counts))], names=names)
+
+        for batch in slices(batches):
+            if held:
+                yield row(held)
+                block += 1
+            ids, n = with_end(*bpe.encode(batch.column(1)), end_id)
+            keys = batch.column(0)
+            docs, nulls = keys.fill_null(0).to_numpy().astype("<i8"), keys.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            counts += np.bincount(ids, minlength=size)
+            held = [x.tobytes() for x in (docs, nulls, n.astype("<u4"), ids.astype(width))]
+        if held:
+            yield row(held, counts.tobytes())
+
+    names = ["shard", "block", "docs", "nulls", "lengths", "ids", "counts"]
+    # rows that tie on the id are dealt out too, however many they are
+    keyed = df.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.monotonically_increasing_id().alias("k2"))
+    dealt = keyed.repartitionByRange(shards, "doc_id", "k1", "k2").sortWithinPartitions("doc_id", "k1", "k2")
+    return map_batches(dealt.select("doc_id", "text"), "byte-bpe", run, "shard int, block int, docs binary, nulls binary, lengths binary, ids binary, counts binary")
+
+
+def ranked_ids(blocks: DataFrame) -> np.ndarray:
+    """The ids that occur in the blocks, by falling count, then by id; as many as the vocabulary has, at most."""
 
     def run(batches):
-        bpe, counts = loaded(tokenizer), np.zeros(0, np.int64)
-        for batch in slices(batches, text=0):
-            got = np.bincount(bpe.encode(batch.column(0))[0], minlength=max(bpe.size, end_id + 1))
-            got[end_id] += batch.num_rows
-            counts = got if not len(counts) else counts + got
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                got = np.frombuffer(raw.as_buffer(), "<i8")
+                total = np.pad(total, (0, max(0, len(got) - len(total))))
+                total[: len(got)] += got
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = df.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    return {r.id: r.n for r in rows}
+    rows = map_batches(blocks.select("counts"), "ranks", run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = {r.id: r.n for r in rows}
+    return np.array(sorted(counts, key=lambda i: (-counts[i], i)), np.uint32)
 
 
-def write_token_files(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
+def write_token_files(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Writes the ids of every row's text, ``end_id`` after each, in ascending order of ``id_col``.
 
     A null text is empty. Rows with a null id come first; rows that tie keep no set order among them. Repeated rows are
-    written each. An empty table gives files without blocks. Other columns are ignored, whatever their names.
+    written each. An empty table gives no blocks. Other columns are ignored, whatever their names.
     """
-    spark = df.sparkSession
+    spark, work = df.sparkSession, Work(df.sparkSession, "token-blocks")
     df = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counts = id_counts(df, tokenizer, end_id)
-    ranked = np.array(sorted(counts, key=lambda i: (-counts[i], i)), np.uint32)
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    encoded, encoded_path = work.table(encoded_blocks(df, tokenizer, end_id, shards), "encoded")
+    ranked = ranked_ids(encoded)
     rank = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts.values()) // file_ids))
+    shared = spark.sparkContext.broadcast((ranked, rank))
 
     def run(batches):
-        from pyspark import TaskContext
-
-        bpe, shard, table = loaded(tokenizer), TaskContext.get().partitionId(), ranked.astype("<u4").tobytes()
-        for batch in slices(batches):
-            ids, n = with_end(*bpe.encode(batch.column(1)), end_id)
-            control, data = vbyte_encode(rank[ids])
-            keys = batch.column(0)
-            head = struct.pack(_HEAD, _MAGIC, shard, len(n), len(ids), len(control), len(data), len(table) // 4)
-            docs = keys.fill_null(0).to_numpy().astype("<i8").tobytes() + keys.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
-            block = b"".join((head, table, docs, n.astype("<u4").tobytes(), control, data))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
-            table = b""
-
-    blocks = df.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+        (ranked, rank), last = shared.value, None
+        for batch in batches:
+            for shard, block, docs, nulls, lengths, raw in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:], strict=True):
+                docs, nulls, lengths = (x.as_py() for x in (docs, nulls, lengths))
+                total = int(np.frombuffer(lengths, "<u4").sum(dtype=np.int64))
+                ids = np.frombuffer(raw.as_buffer(), "<u2" if len(raw.as_buffer()) == 2 * total else "<u4")
+                control, data = vbyte_encode(rank[ids])
+                table, last = b"" if shard == last else ranked.astype("<u4").tobytes(), shard
+                head = struct.pack(_HEAD, _MAGIC, shard, block, len(nulls), len(ids), len(control), len(data), len(table) // 4)
+                out = b"".join((head, table, docs, nulls, lengths, control, data))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([out], pa.binary())], names=["shard", "block"])
+
+    # the writers of a task's shards stay open side by side, so blocks keep their order without a sort
+    blocks = map_batches(encoded.select("shard", "block", "docs", "nulls", "lengths", "ids"), "ranks", run, "shard int, block binary")
+    with shuffles_cleaned(spark), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(shards)):
+        blocks.select("shard", F.col("block").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    work.drop(encoded_path)
+    shared.unpersist()
 
 
 def blocks_of(content: memoryview):
-    """(shard, document ids with None for null, lengths, ids) of each block of a file; a ValueError where it is damaged."""
+    """(shard, block, document ids with None for null, lengths, ids) of each block of a file; a ValueError where it is damaged."""
     at, table = 0, None
     while at < len(content):
-        magic, shard, docs, n, n_control, n_data, n_table = struct.unpack_from(_HEAD, content, at)
+        if at + struct.calcsize(_HEAD) > len(content):
+            raise ValueError(f"damaged token file at byte {at}")
+        magic, shard, block, docs, n, n_control, n_data, n_table = struct.unpack_from(_HEAD, content, at)
         parts, p = [], at + struct.calcsize(_HEAD)
         for size in (4 * n_table, 8 * docs, docs, 4 * docs, n_control, n_data):
             parts.append(content[p : p + size])
@@ -119,7 +165,7 @@ def blocks_of(content: memoryview):
         if lengths.sum() != n or table is None:
             raise ValueError(f"damaged token file at byte {at}")
         keys = pa.array(np.frombuffer(parts[1], "<i8"), mask=np.frombuffer(parts[2], np.uint8).astype(bool))
-        yield shard, keys, lengths, table[vbyte_decode(parts[4], parts[5], n)]
+        yield shard, block, keys, lengths, table[vbyte_decode(parts[4], parts[5], n)]
         at = p + 1
 
 
@@ -130,28 +176,30 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                before = 0
-                for shard, keys, n, ids in blocks_of(memoryview(content.as_buffer())):
+                before, first = 0, None
+                for shard, block, keys, n, ids in blocks_of(memoryview(content.as_buffer())):
+                    first = block if first is None else first
                     flat, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(n)
                     crc = [zlib.crc32(flat[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                    columns = [keys, pa.array(before + ends - n), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), shard, np.int32))]
+                    columns = [keys, pa.array(before + ends - n), pa.array(n), pa.array(crc, pa.int64()), *(pa.array(np.full(len(n), x, np.int32)) for x in (shard, first))]
                     if with_ids:
                         columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                     before += int(ends[-1])
 
-    schema = "doc_id long, local long, n_tokens long, ids_crc32 long, shard int" + ", ids array<int>" * with_ids
+    schema = "doc_id long, local long, n_tokens long, ids_crc32 long, shard int, first int" + ", ids array<int>" * with_ids
     names = [c.split(" ")[0] for c in schema.split(", ")]
     work = Work(spark, "token-rows")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
-    rows, _ = work.table(files.mapInArrow(run, schema), "rows")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("content")
+    rows, _ = work.table(map_batches(files, "token-files", run, schema), "rows")
+    totals = rows.groupBy("shard", "first").agg(F.sum("n_tokens").alias("n")).collect()
     before, bases = 0, []
-    for t in sorted(totals, key=lambda t: t.shard):
-        bases.append((t.shard, before))
+    for t in sorted(totals, key=lambda t: (t.shard, t.first)):
+        bases.append((t.shard, t.first, before))
         before += t.n
-    base = spark.createDataFrame(bases, "b_shard int, base long")
-    return rows.join(base, rows.shard == base.b_shard).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard", *["ids"] * with_ids)
+    base = spark.createDataFrame(bases, "b_shard int, b_first int, base long")
+    joined = rows.join(base, (F.col("shard") == F.col("b_shard")) & (F.col("first") == F.col("b_first")))
+    return joined.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard", *["ids"] * with_ids)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

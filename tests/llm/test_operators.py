@@ -130,9 +130,9 @@ def test_token_files(spark, docs, empty):
 
 
 def test_damaged_token_files():
-    head = struct.pack("<4sIIQIII", b"QVB1", 0, 1, 1, 1, 1, 1)
+    head = struct.pack("<4sIIIQIII", b"QVB2", 0, 0, 1, 1, 1, 1, 1)
     good = head + struct.pack("<I", 9) + struct.pack("<q", 4) + b"\0" + struct.pack("<I", 1) + b"\0" + b"\0" + b"\n"
-    ((_, keys, n, ids),) = token_files.blocks_of(memoryview(good))
+    ((_, _, keys, n, ids),) = token_files.blocks_of(memoryview(good))
     assert (keys.to_pylist(), n.tolist(), ids.tolist()) == ([4], [1], [9])
     for bad in (good[:-1], b"X" + good[1:], good[:-1] + b"x"):
         with pytest.raises(ValueError):
