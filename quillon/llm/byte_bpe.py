@@ -22,8 +22,9 @@ from .shared import cache_of
 #: White space as the byte-level pattern knows it.
 _WS = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = rf"{_WS}{_WS}|\A{_WS}|{_WS}\z"
-#: Pieces sent to the library in one string; pieces kept between batches; bytes of text worked on at once.
-_RUN, KEPT_PIECES, SLICE_BYTES = 64, 1_500_000, 16_000_000
+#: Pieces sent to the library in one string; pieces kept between batches, of which the half met most often outlives an
+#: overflow; bytes of text worked on at once.
+_RUN, KEPT_PIECES, SLICE_BYTES = 64, 600_000, 16_000_000
 
 
 class ByteBpe:
@@ -42,7 +43,15 @@ class ByteBpe:
 
     def _forget(self) -> None:
         self.words, self.ids = pa.array([], pa.string()), np.empty(0, np.uint32)
-        self.at, self.lens = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.at, self.lens, self.met = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _shrink(self) -> None:
+        """Keeps the half of the pieces that most batches had."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: KEPT_PIECES // 2])
+        n = self.lens[keep]
+        ends = np.cumsum(n)
+        self.ids = self.ids[np.repeat(self.at[keep] - (ends - n), n) + np.arange(n.sum())]
+        self.words, self.lens, self.at, self.met = self.words.take(pa.array(keep)), n, (ends - n).astype(np.int32), self.met[keep]
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         runs = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,10 +77,11 @@ class ByteBpe:
     def _learn(self, unique: pa.Array) -> np.ndarray:
         """Places of the distinct pieces among the kept ones, unseen ones encoded."""
         if len(self.words) > KEPT_PIECES:
-            self._forget()
+            self._shrink()
         place = pc.index_in(unique, value_set=self.words)
         new = unique.filter(pc.is_null(place))
         out = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        self.met[out[out >= 0]] += 1
         if len(new):
             first = pc.starts_with(new, "\r").to_numpy(zero_copy_only=False)
             lens = np.zeros(len(new), np.int32)
@@ -86,6 +96,7 @@ class ByteBpe:
             self.words = pa.concat_arrays([self.words, new])
             self.ids = np.concatenate([self.ids, whole_ids, rest_ids])
             self.at, self.lens = np.concatenate([self.at, at]), np.concatenate([self.lens, lens])
+            self.met = np.concatenate([self.met, np.ones(len(new), np.int32)])
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
