@@ -24,7 +24,7 @@ _WS = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 _ODD = rf"{_WS}{_WS}|\A{_WS}|{_WS}\z"
 #: Pieces sent to the library in one string; pieces kept between batches, of which the half met most often outlives an
 #: overflow; bytes of text worked on at once.
-_RUN, KEPT_PIECES, SLICE_BYTES = 64, 600_000, 16_000_000
+_RUN, KEPT_PIECES, SLICE_BYTES = 64, 600_000, 8_000_000
 
 
 class ByteBpe:

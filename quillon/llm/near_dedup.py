@@ -124,7 +124,7 @@ def describe(df: DataFrame) -> DataFrame:
     id_type = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches, limit=6_000_000):
+        for batch in slices(batches, limit=2_000_000):
             sets = shingle_sets(batch.column(1))
             n = np.array([len(s) for s in sets])
             none = pa.array(n == 0)

@@ -5,10 +5,16 @@ between them, letters repeated, or the word parted by spaces. Its possible readi
 under a character trigram model finds the likeliest. A word of letters, no two alike in a row, has one reading, itself. A
 logistic model over the beginnings of the restored words then scores the text.
 
-Corpus statistics: trigram counts of every clean word (letters only) of every text, over a fixed alphabet of 64 classes, so the model has a fixed
-size while what is counted grows with the input. The classifier is fitted on ``TRAIN_ROWS`` labelled rows at most,
-picked by hash; its features are chosen by counts over those rows. The sample's ids are few enough to broadcast, so no
-text is shuffled. Scoring is one scan; a worker keeps seen words up to a bound.
+Which lattices are built: in training one for each distinct piece with a sign of the channel; in scoring only where some
+reading can begin as a feature does, told by a pattern over look-alikes, marks and repeats, since no other reading can
+count. A word parted by spaces is looked for where a piece can be the beginning of a longer feature and the pieces after it can
+go on with it; the lattice over the next ``RUN`` characters then says whether the spaces are dropped or part words.
+
+Corpus statistics: trigram counts of every clean word (letters only) of every text, over a fixed alphabet of 64 classes, so the
+model has a fixed size while what is counted grows with the input. The classifier is fitted on ``TRAIN_ROWS`` labelled rows at
+most, picked by hash; its features are those whose log-likelihood ratio against the label is significant over those rows.
+The sample's ids are few enough to broadcast, so no text is shuffled. Scoring is one scan; a worker keeps the readings of
+candidate pieces up to a bound. Time and memory grow in proportion to a word's length.
 """
 
 from __future__ import annotations
@@ -23,23 +29,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .byte_bpe import slices
 from .shared import map_batches, read_table, whole
 
-#: Labelled rows to fit on, features of the classifier, and documents a feature needs, at most and at least.
-TRAIN_ROWS, FEATURES, MIN_DOCS = 20_000, 3_000, 3
+#: Labelled rows to fit on, features of the classifier at most, documents of label 1 and log-likelihood ratio a feature needs.
+TRAIN_ROWS, FEATURES, MIN_DOCS, MIN_RATIO = 20_000, 3_000, 4, 16.0
 #: Rows of this remainder of crc32(id) mod 4 never give labels.
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Words that a worker keeps between batches; beginnings of words that are features, by length.
-KEPT_WORDS, PREFIXES = 400_000, (3, 4, 5, 6, 7, 8)
-#: Characters of a piece that a space may have cut off a word, and of a run of such pieces that is read at once.
-SHORT, RUN = 4, 16
+#: Readings that a worker keeps between batches; beginnings of words that are features, by length, and letters of a word
+#: that is a feature as a whole, at most.
+KEPT_WORDS, PREFIXES, WHOLE = 100_000, (3, 4, 5, 6, 7, 8), 32
+#: Characters of a run of pieces that is read at once; letters of a beginning that counts where spaces were dropped.
+RUN, PARTED = 32, 5
 
 # Characters that stand for letters.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y", "§": "s", "µ": "u", "*": "aeiou",
 }
-#: Costs, as negative logarithms, of a look-alike, a dropped mark and a repeated letter.
-SUBSTITUTE, DROP, REPEAT = 3.0, 2.0, 2.0
+#: Costs, as negative logarithms, of a look-alike, a dropped mark, a dropped space and a repeated letter. A run of equal
+#: characters costs as much at any length, and more than ``ALIKE`` of them read as so many.
+SUBSTITUTE, DROP, JOIN, REPEAT, ALIKE = 1.5, 2.0, 3.0, 0.7, 4
+#: Between two single characters a space is mostly the channel's: costs of dropping it, and of a true one.
+JOIN_SINGLE, PART_SINGLE = 0.1, 4.0
 
 # The trigram model's alphabet. Class 0 is a word's edge, 1 any digit, 2 any other character.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
@@ -86,61 +96,84 @@ class CharacterModel:
         three = (n + 20 * two) / (n.sum(2, keepdims=True) + 20)
         self.cost = (-np.log(three)).astype(np.float32).ravel().tolist()
 
-    def restore(self, word: str, spelt: bool = False, more: bool = False) -> str:
-        """The likeliest reading of a word: the best path through its lattice. A spelt-out run may hold several words,
-        so a space may stand between any two of its characters. A space in ``word`` parts words or is dropped as a mark
-        is. With ``more`` the word may go on after its last character."""
-        n, low, cost = len(word), word.lower(), self.cost
-        if len(low) != n:
-            low = word
+    def decode(self, seen: str, more: bool = False) -> tuple[float, str]:
+        """The cost and the text of the likeliest reading: the best path through the lattice of ``seen``.
+
+        Each character is read as itself or as a letter it looks like; a mark may be dropped; a character like the one
+        before may be taken as the same letter; a space parts words or is dropped. A number at the end may be dropped as one
+        mark. With ``more`` the last word may go on after the end.
+        """
+        low, cost = _reduced(seen), self.cost
         number = _NUMBER.search(low)
-        kinds = classes_of(low).tolist()
-        # states at a place: (class before last, last class) -> (cost, text so far as a linked list)
-        best: list[dict] = [{} for _ in range(n + 1)]
-        best[0] = {(0, 0): (0.0, None)}
-        for i in range(n):
-            x, run = low[i], 1
-            while i + run < n and low[i + run] == x:
-                run += 1
-            reads = [(x, kinds[i], 1, 0.0)]
-            reads += [(y, _CLASS[ord(y)].item(), 1, SUBSTITUTE) for y in LOOKALIKES.get(x, "")]
-            if run > 1 and x.isalpha():
-                reads += [(x, kinds[i], k, REPEAT) for k in range(2, run + 1)]
-            mark = not x.isalnum()
+        number = number.start() if number else -1
+        # states: class before last * CLASSES + last class -> (cost, text so far as a linked list)
+        states: dict[int, tuple] = {0: (0.0, None)}
+        before, cut = "", {}
+        for i, x in enumerate(low):
+            new: dict[int, tuple] = {}
+            if i == number:
+                cut = {s: (v + DROP, t) for s, (v, t) in states.items()}
             if x == " ":
-                reads = []
-                for (a, b), (total, text) in best[i].items():
-                    total += cost[(a * CLASSES + b) * CLASSES]
-                    if (0, 0) not in best[i + 1] or total < best[i + 1][0, 0][0]:
-                        best[i + 1][0, 0] = (total, (text, " "))
-            if number and i == number.start():
-                for state, (total, text) in best[i].items():
-                    if state not in best[n] or total + DROP < best[n][state][0]:
-                        best[n][state] = (total + DROP, text)
-            if spelt and i:
-                for (a, b), (total, text) in list(best[i].items()):
-                    total += cost[(a * CLASSES + b) * CLASSES]
-                    if b and ((0, 0) not in best[i] or total < best[i][0, 0][0]):
-                        best[i][0, 0] = (total, (text, " "))
-            for (a, b), (total, text) in best[i].items():
-                for y, c, step, price in reads:
-                    value = total + price + cost[(a * CLASSES + b) * CLASSES + c]
-                    old = best[i + step].get((b, c))
-                    if old is None or value < old[0]:
-                        best[i + step][b, c] = (value, (text, y))
-                if mark:
-                    old = best[i + 1].get((a, b))
-                    if old is None or total + DROP < old[0]:
-                        best[i + 1][a, b] = (total + DROP, text)
-            best[i] = {}
-        _, text = min(((v if more else v + cost[(a * CLASSES + b) * CLASSES], t) for (a, b), (v, t) in best[n].items()), key=lambda p: p[0])
+                single = low[i - 2 : i - 1] in ("", " ") and low[i + 2 : i + 3] in ("", " ")
+                join, part = (JOIN_SINGLE, PART_SINGLE) if single else (JOIN, 0.0)
+                for s, (v, t) in states.items():
+                    if not s:
+                        value = v, t
+                    else:
+                        value = v + cost[s * CLASSES] + part, (t, " ")
+                        if s not in new or v + join < new[s][0]:
+                            new[s] = v + join, t
+                    if 0 not in new or value[0] < new[0][0]:
+                        new[0] = value
+            else:
+                reads = _READS.get(x) or _reads(x)
+                same = x == before
+                # a run of equal marks is dropped as one
+                drop = None if x.isalnum() else 0.0 if same else DROP
+                for s, (v, t) in states.items():
+                    b, base = s % CLASSES, s * CLASSES
+                    for y, c, price in reads:
+                        value, to = v + price + cost[base + c], b * CLASSES + c
+                        if to not in new or value < new[to][0]:
+                            new[to] = value, (t, y)
+                        if same and c == b and (s not in new or v + REPEAT < new[s][0]):
+                            new[s] = v + (REPEAT if low[i - 2 : i - 1] != x else 0.0), t
+                    if drop is not None and (s not in new or v + drop < new[s][0]):
+                        new[s] = v + drop, t
+            states, before = new, x
+        for s, found in cut.items():
+            if s not in states or found[0] < states[s][0]:
+                states[s] = found
+        value, text = min(((v if more or not s else v + cost[s * CLASSES], t) for s, (v, t) in states.items()), key=lambda p: p[0])
         out = []
         while text:
             text, y = text
             out.append(y)
-        return "".join(reversed(out))
+        return value, "".join(reversed(out))
+
+    def restore(self, seen: str, more: bool = False) -> str:
+        return self.decode(seen, more)[1]
+
+
+#: Readings of a character: (letter, class, cost).
+_READS: dict[str, list[tuple[str, int, float]]] = {}
+
+
+def _reads(x: str) -> list[tuple[str, int, float]]:
+    if len(_READS) > 10_000:
+        _READS.clear()
+    _READS[x] = [(x, classes_of(x)[0].item(), 0.0), *((y, classes_of(y)[0].item(), SUBSTITUTE) for y in LOOKALIKES.get(x, ""))]
+    return _READS[x]
+
 
+def _reduced(seen: str) -> str:
+    """Lower case, with single spaces and runs of equal characters no longer than ``ALIKE``."""
+    low = seen.lower()
+    low = _SPACES.sub(" ", low if len(low) == len(seen) else seen)
+    return _LONG_RUN.sub(lambda m: m[1] * ALIKE, low)
 
+
+_SPACES, _LONG_RUN = re.compile(r" {2,}"), re.compile(rf"(.)\1{{{ALIKE},}}", re.DOTALL)
 #: A sign of the channel: anything but letters, or a letter twice in a row.
 _NOISY = re.compile(r"[^\w]|[\d_]|([^\W\d_])\1", re.IGNORECASE)
 _CLEAN = r"\A\p{L}+[.,;:!?]*\z"
@@ -161,180 +194,129 @@ class Restorer:
             word = self.model.restore(word)
         return _EDGES.sub("", word).lower()
 
-    def spelt(self, run: str) -> list[str]:
-        """The words of a run of single characters."""
-        return [_EDGES.sub("", w).lower() for w in self.model.restore(run, spelt=True).split(" ")]
-
-    def joins(self, first: str, second: str) -> bool:
-        """Whether the second piece goes on the first one's word, whatever follows."""
-        return " " not in self.model.restore(f"{first} {second}", more=True)
-
-    def parted(self, pieces: str) -> str:
-        """The first word of short pieces with spaces between them."""
-        return _EDGES.sub("", self.model.restore(_TRAIL.sub("", pieces)).split(" ")[0]).lower()
+    def parted(self, pieces: list[str], more: bool) -> tuple[str, int]:
+        """The first word of pieces with spaces between them, and how many spaces it took in."""
+        run = " ".join(pieces)
+        words = self.model.restore(run if more else _TRAIL.sub("", run), more).split(" ")
+        return _EDGES.sub("", words[0]).lower(), len(pieces) - len(words)
 
 
 def features_of(word: str) -> list[str]:
     """A word's beginnings, and the word."""
     if len(word) < PREFIXES[0]:
         return []
-    return [word[:k] for k in PREFIXES if k < len(word)] + [word + "$"]
+    return [word[:k] for k in PREFIXES if k < len(word)] + [word + "$"] * (len(word) <= WHOLE)
+
+
+def _readable(letter: str) -> str:
+    """A pattern's class of the characters that read as a letter."""
+    seen = letter + letter.upper() * (len(letter.upper()) == 1) + "".join(k for k, v in LOOKALIKES.items() if letter in v)
+    return "[" + "".join(re.escape(c) for c in seen) + "]"
+
+
+def _matching(strings: pa.Array, among: np.ndarray, pattern: str) -> np.ndarray:
+    """Which of the strings ``among`` these places match."""
+    return among[pc.match_substring_regex(strings.take(pa.array(among)) if len(among) < len(strings) else strings, pattern).to_numpy(zero_copy_only=False)]
 
 
 class Words:
-    """The words of Arrow texts: distinct pieces, their restored words, and spelt-out words."""
+    """The features of Arrow texts: of their restored pieces, and of words that spaces part."""
 
     def __init__(self, restorer: Restorer, known: dict[str, int] | None = None):
         self.restorer, self.known = restorer, known
-        self.starts = {f[: PREFIXES[0]] for f in known} if known is not None else None
-        self.heads = {f[:k] for f in known if f.endswith("$") for k in range(1, len(f))} if known is not None else None
-        self.kept = pa.array([], pa.string())
-        self.of_kept: list = []
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.runs: dict[str, tuple] = {}
-
-    def _may_start(self, seen: str, ends: bool = True) -> bool:
-        """Whether any reading of a piece begins as a feature does, so that the lattice need not be built for the rest.
-        Where the word may go on after the piece, its readings can be shorter than a feature."""
-        low = seen.lower()
-        if self.starts is None or len(low) != len(seen):
-            return True
-        todo = [(0, "")]
-        while todo:
-            i, begun = todo.pop()
-            if len(begun) == PREFIXES[0]:
-                if begun in self.starts:
-                    return True
-                continue
-            if i == len(low):
-                if not ends:
-                    return True
-                continue
-            x, j = low[i], i + 1
-            todo.append((j, begun + x))
-            todo += [(j, begun + y) for y in LOOKALIKES.get(x, "")]
-            if not x.isalnum() or not (begun or x.isalpha()):
-                todo.append((j, begun))
-            while x.isalpha() and j < len(low) and low[j] == x:
-                j += 1
-                todo.append((j, begun + x))
-        return False
-
-    def _value(self, seen: str):
-        return self._features(self.restorer.word(seen)) if self._may_start(seen) else ()
-
-    def _features(self, word: str):
-        if self.known is None:
-            return features_of(word)
-        if word[: PREFIXES[0]] not in self.starts:
-            return ()
-        return tuple(self.known[f] for f in features_of(word) if f in self.known)
-
-    def _learn(self, unique: pa.Array) -> np.ndarray:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept, self.of_kept = pa.array([], pa.string()), []
-        place = pc.index_in(unique, value_set=self.kept)
-        new = unique.filter(pc.is_null(place))
-        out = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        out[out < 0] = len(self.kept) + np.arange(len(new))
-        if len(new):
-            self.kept = pa.concat_arrays([self.kept, new])
-            self.of_kept.extend(self._value(w) for w in new.to_pylist())
-        return out
-
-    def spelt_words(self, run: str) -> list[str]:
-        """The words of a spelt-out run as restored, and the whole known words that stand anywhere in it."""
-        words = self.restorer.spelt(run)
-        if self.known is not None:
-            joined, longest = "".join(words), max((len(f) for f in self.known), default=1) - 1
-            words += [joined[i:j] for i in range(len(joined)) for j in range(i + PREFIXES[0], min(len(joined), i + longest) + 1) if joined[i:j] + "$" in self.known]
-        return words
-
-    def _may_join(self, first: str, second: str) -> bool:
-        """Whether a word of interest may start at the first piece and go on in the second."""
-        key = (first, second)
-        if key not in self.pairs:
-            if len(self.pairs) > KEPT_WORDS:
-                self.pairs.clear()
-            joined = first + second
-            found = self._may_start(joined, ends=False)
-            if found and self.known is not None and self.restorer.word(joined) in self.heads:
-                self.pairs[key] = True
-            else:
-                self.pairs[key] = found and self.restorer.joins(first, second)
-        return self.pairs[key]
-
-    def _parted(self, pieces: list[str]) -> tuple:
-        """The features of the word that the pieces start with, if it holds more than the first, and of known words that
-        fill the first few pieces."""
-        run = " ".join(pieces)
-        if run not in self.runs:
-            if len(self.runs) > KEPT_WORDS:
-                self.runs.clear()
-            words = {self.restorer.parted(run)} - {self.restorer.word(pieces[0])}
-            if self.known is not None:
-                for k in range(2, len(pieces) + 1):
-                    joined = _TRAIL.sub("", "".join(pieces[:k]))
-                    word = self.restorer.word(joined)
-                    if word + "$" in self.known:
-                        words.add(word)
-                    # a clean beginning stays as it is, whatever is put to it
-                    if word not in self.heads and not _NOISY.search(joined):
-                        break
-            self.runs[run] = tuple(f for w in words for f in self._features(w))
-        return self.runs[run]
+        self.of_piece: dict[str, tuple] = {}
+        self.of_run: dict[tuple, tuple] = {}
+        if known is not None:
+            # patterns of pieces: a reading begins as a feature does; what spaces may part (whole words, and beginnings of PARTED
+            # letters) is reached; a part of it is there and nothing else
+            starts = sorted({f.rstrip("$")[: PREFIXES[0]] for f in known})
+            targets = sorted({f.rstrip("$")[:PARTED] for f in known if f.endswith("$") or len(f) >= PARTED})
+            # (a letter beyond ASCII passes for a mark here: the plain class keeps the automaton small)
+            mark, edge, none = "[^0-9A-Za-z]*", r"\A[^A-Za-z]*?", r"a\A"
+            letter = {c: _readable(c) + "+" for f in (*starts, *targets) for c in f}
+
+            def some(f: str) -> str:
+                return letter[f[0]] + mark + f"(?:{some(f[1:])})?" if len(f) > 1 else letter[f] + ".*"
+
+            whole = lambda of: edge + "(?:" + "|".join(mark.join(letter[c] for c in f) for f in of) + ")" if of else none
+            self.start, self.reach = whole(starts), whole(targets)
+            self.part = f"(?s){edge}(?:" + "|".join(map(some, targets)) + r")\z" if targets else none
+            self.any = f"{self.start}|{self.part}"
+
+    def _kept(self, of: dict, key, make) -> tuple:
+        if key not in of:
+            if len(of) > KEPT_WORDS:
+                of.clear()
+            of[key] = make(key)
+        return of[key]
+
+    def _piece(self, seen: str) -> tuple:
+        return self._known(features_of(self.restorer.word(seen)))
+
+    def _known(self, features: list[str]) -> tuple:
+        return tuple(features) if self.known is None else tuple(self.known[f] for f in features if f in self.known)
+
+    def _run(self, key: tuple) -> tuple:
+        """The features of the word that a run of pieces starts with, where it took in the space after the first."""
+        *pieces, more = key
+        word, spaces = self.restorer.parted(pieces, more)
+        first = len(self.restorer.word(pieces[0]))
+        return self._known([f for f in features_of(word) if f.endswith("$") or len(f) >= PARTED and len(f) > first]) if spaces > 0 else ()
 
     def texts(self, texts: pa.Array) -> list[set]:
         """The features of each text."""
-        for c in "\t\n\x0b\x0c\r":
-            texts = pc.replace_substring(texts, c, " ")
-        split = pc.split_pattern(texts, " ")
+        split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
         out: list[set] = [set() for _ in range(len(texts))]
         if not len(flat):
             return out
-        codes = flat.indices.to_numpy(zero_copy_only=False)
-        place = self._learn(flat.dictionary)
+        unique, codes = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        full = np.fromiter((bool(self.of_kept[p]) for p in place.tolist()), bool, len(place))
+        asked = np.arange(len(unique))
+        if self.known is not None:
+            some = _matching(unique, asked, self.any)
+            asked, parts = _matching(unique, some, self.start), _matching(unique, some, self.part)
+        values: dict[int, tuple] = {}
+        for c, seen in zip(asked.tolist(), unique.take(pa.array(asked)).to_pylist(), strict=True):
+            if found := self._kept(self.of_piece, seen, self._piece):
+                values[c] = found
+        full = np.zeros(len(unique), bool)
+        full[list(values)] = True
         hits = np.flatnonzero(full[codes])
-        owner = np.searchsorted(offsets, hits, "right") - 1
-        pairs = np.unique(owner * len(place) + codes[hits])
-        for o, c in zip((pairs // len(place)).tolist(), (pairs % len(place)).tolist(), strict=True):
-            out[o].update(self.of_kept[place[c]])
-        # words spelt out: three pieces or more of one character each, within a text
-        single = (pc.utf8_length(flat.dictionary).to_numpy(zero_copy_only=False) == 1)[codes]
-        edge = np.zeros(len(codes) + 1, bool)
-        edge[offsets[:-1]] = True
-        run = np.flatnonzero(single & ~(np.append(False, single[:-1]) & ~edge[:-1]))
-        if len(run):
-            stop = np.flatnonzero(single & ~(np.append(single[1:], False) & ~edge[1:]))
-            long = np.flatnonzero(stop - run >= 2)
-            words = flat.dictionary.to_pylist() if len(long) else []
-            for a, b in zip(run[long].tolist(), stop[long].tolist(), strict=True):
-                spelt = "".join(words[c] for c in codes[a : b + 1].tolist())
-                for word in self.spelt_words(spelt):
-                    out[int(np.searchsorted(offsets, a, "right")) - 1].update(self._features(word))
-        # words parted by spaces: neighbouring short pieces of a text
-        size = pc.utf8_length(pc.utf8_rtrim(flat.dictionary, ".,;:!?")).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero((pc.utf8_length(flat.dictionary).to_numpy(zero_copy_only=False) > 0)[codes])
-        piece, text = codes[at].astype(np.int64), np.searchsorted(offsets, at, "right") - 1
-        short = size[piece] <= SHORT
-        follows = np.append(short[:-1] & short[1:] & (text[:-1] == text[1:]), False)
-        first = np.flatnonzero(follows)
-        if len(first):
-            words = flat.dictionary.to_pylist()
-            pairs, which = np.unique(piece[first] * len(words) + piece[first + 1], return_inverse=True)
-            joins = np.fromiter((self._may_join(words[p // len(words)], words[p % len(words)]) for p in pairs.tolist()), bool, len(pairs))
-            for a in first[joins[which]].tolist():
-                run = [words[piece[a]]]
-                total = len(run[0])
-                while follows[a + len(run) - 1] and total < RUN:
-                    run.append(words[piece[a + len(run)]])
-                    total += len(run[-1])
-                out[text[a]].update(self._parted(run))
+        pairs = np.unique((np.searchsorted(offsets, hits, "right") - 1) * len(unique) + codes[hits])
+        for o, c in zip((pairs // len(unique)).tolist(), (pairs % len(unique)).tolist(), strict=True):
+            out[o].update(values[c])
+        if self.known is not None:
+            self._parted(unique, codes, offsets, parts, out)
         return out
 
+    def _parted(self, unique: pa.Array, codes: np.ndarray, offsets: np.ndarray, parts: np.ndarray, out: list[set]) -> None:
+        """Adds the features of words that spaces part; ``parts``: the pieces that may be a part of one."""
+        head = np.zeros(len(unique), bool)
+        head[parts] = True
+        full = pc.greater(pc.binary_length(unique), 0).to_numpy(zero_copy_only=False)
+        last = np.zeros(len(codes), bool)
+        last[offsets[1:][offsets[1:] > 0] - 1] = True
+        at = np.flatnonzero(head[codes] & ~last)
+        at = at[full[codes[at + 1]]]
+        pairs, which = np.unique(codes[at] * len(unique) + codes[at + 1], return_inverse=True)
+        if not len(pairs):
+            return
+        joined = pc.binary_join_element_wise(unique.take(pa.array(pairs // len(unique))), unique.take(pa.array(pairs % len(unique))), "")
+        go_on = np.zeros(len(pairs), bool)
+        go_on[_matching(joined, np.arange(len(pairs)), self.part)] = True
+        at = at[go_on[which]]
+        owner = np.searchsorted(offsets, at, "right") - 1
+        seen, runs = unique.to_pylist(), []
+        for a, end in zip(at.tolist(), offsets[owner + 1].tolist(), strict=True):
+            size, stop = 0, a
+            while stop < end and (stop == a or size + len(seen[codes[stop]]) <= RUN):
+                size += len(seen[codes[stop]])
+                stop += 1
+            runs.append((*[seen[c] for c in codes[a:stop].tolist()], stop < end))
+        for k in _matching(pa.array(["".join(r[:-1]) for r in runs], pa.string()), np.arange(len(runs)), self.reach).tolist():
+            out[owner[k]].update(self._kept(self.of_run, runs[k], self._run))
+
 
 def corpus_trigrams(df: DataFrame) -> np.ndarray:
     """Trigram counts of the clean words of all texts; the driver gets one number per trigram of classes at most."""
@@ -342,10 +324,7 @@ def corpus_trigrams(df: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(CLASSES**3)
         for batch in slices(batches, text=0):
-            texts = batch.column(0)
-            for c in "\t\n\x0b\x0c\r":
-                texts = pc.replace_substring(texts, c, " ")
-            counts = pc.split_pattern(texts, " ").flatten().value_counts()
+            counts = pc.ascii_split_whitespace(batch.column(0)).flatten().value_counts()
             # clean words only: what a noisy channel's source may say
             counts = counts.filter(pc.match_substring_regex(counts.field(0), _CLEAN))
             total += trigram_counts(pc.utf8_rtrim(counts.field(0), ".,;:!?").to_pylist(), counts.field(1).to_numpy())
@@ -376,6 +355,15 @@ def _logistic(rows: list[list[int]], labels: np.ndarray, n: int) -> np.ndarray:
     return w
 
 
+def likelihood_ratio(a: int, b: int, n_a: int, n_b: int) -> float:
+    """Twice the log-likelihood ratio of a feature in a of n_a and b of n_b documents; 0 where it isn't more frequent in the first."""
+    if a * n_b <= b * n_a:
+        return 0.0
+    p = (a + b) / (n_a + n_b)
+    cells = ((a, n_a * p), (b, n_b * p), (n_a - a, n_a * (1 - p)), (n_b - b, n_b * (1 - p)))
+    return 2 * sum(o * np.log(o / e) for o, e in cells if o > 0)
+
+
 class Scorer:
     """What workers need: the character model's table, the features and their weights."""
 
@@ -407,31 +395,37 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, featur
     picked = marked.filter(in_slice).select(F.col("doc_id").alias("l_doc_id"), "toxic").limit(train_rows).collect()
     small = spark.createDataFrame(picked, f"l_doc_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
     train = docs.join(F.broadcast(small), docs.doc_id == small.l_doc_id).select("toxic", "text")
-    table = spark.sparkContext.broadcast(counts)
+    table = spark.sparkContext.broadcast((counts, None))
 
     def count(batches):
-        words, seen = Words(Restorer(CharacterModel(table.value))), {}
-        for batch in slices(batches):
-            for toxic, found in zip(batch.column(0).to_pylist(), words.texts(batch.column(1)), strict=True):
-                for f in found:
-                    pair = seen.setdefault(f, [0, 0])
-                    pair[toxic > 0] += 1
-        keep = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), *(pa.array([seen[f][k] for f in keep], pa.int64()) for k in (0, 1))], names=["f", "clean", "toxic"])
+        words, seen = Words(Restorer(CharacterModel(table.value[0]))), {}
+        wanted = table.value[1]
+        for batch in slices(batches, text=0):
+            for found in words.texts(batch.column(0)):
+                for f in found if wanted is None else found & wanted:
+                    seen[f] = seen.get(f, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(seen.values(), pa.int64())], names=["f", "n"])
 
     total = train.groupBy("toxic").count().collect()
     n_toxic, n = sum(r["count"] for r in total if r.toxic > 0), sum(r["count"] for r in total)
     if not 0 < n_toxic < n:
         z = -30.0 if not n_toxic else 30.0
         return Scorer(counts, {}, np.array([z]))
-    rate = n_toxic / n
-    gain = (F.col("toxic") * F.log((F.col("toxic") + rate) / ((F.col("toxic") + F.col("clean") + 1) * rate))).alias("gain")
-    per = map_batches(train, "toxicity", count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    top = per.filter(F.col("toxic") >= MIN_DOCS).select("f", gain).filter("gain > 2").orderBy(F.desc("gain"), "f").limit(features).collect()
-    index = {r.f: i for i, r in enumerate(top)}
+
+    def counted(rows: DataFrame, least: int) -> dict[str, int]:
+        per = map_batches(rows.select("text"), "toxicity", count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+        return {r.f: r.n for r in per.filter(F.col("n") >= least).collect()}
+
+    # documents of label 1 name the candidates; only these are counted in the others
+    toxic = counted(train.filter("toxic > 0"), MIN_DOCS)
+    table = spark.sparkContext.broadcast((counts, set(toxic)))
+    clean = counted(train.filter("toxic <= 0"), 1)
+    ratio = {f: likelihood_ratio(k, clean.get(f, 0), n_toxic, n - n_toxic) for f, k in toxic.items()}
+    top = sorted((f for f in ratio if ratio[f] >= MIN_RATIO), key=lambda f: (-ratio[f], f))[:features]
+    index = {f: i for i, f in enumerate(top)}
 
     def gather(batches):
-        words = Words(Restorer(CharacterModel(table.value)), index)
+        words = Words(Restorer(CharacterModel(table.value[0])), index)
         for batch in slices(batches):
             found = [sorted(x) for x in words.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])

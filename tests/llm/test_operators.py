@@ -473,14 +473,17 @@ def test_components(spark):
 # ---- toxicity ----
 
 
-def test_restoring():
-    text = ("you stupid idiot loser what a moron the total scum and trash are here with us today it is pathetic and worthless " + " ".join(PROSE) + " ") * 30
+def restorer():
+    text = ("you stupid idiot loser what a moron the total scum and trash ass are here with us today it is pathetic and worthless " + " ".join(PROSE) + " ") * 30
     words = Counter(text.split())
-    model = toxicity.CharacterModel(toxicity.trigram_counts(list(words), np.array(list(words.values()))))
-    r = toxicity.Restorer(model)
+    return toxicity.Restorer(toxicity.CharacterModel(toxicity.trigram_counts(list(words), np.array(list(words.values())))))
+
+
+def test_restoring():
+    r = restorer()
     want = {"tr4sh": "trash", "1d10t": "idiot", "stuuupid": "stupid", "s.t.u.p.i.d": "stupid", "l0s3r!!": "loser", "m0r0n###": "moron", "p@thetic": "pathetic", "stupid": "stupid", "Trash,": "trash", "": "", "###": ""}
+    want |= {"mmoron": "moron", "lloser": "loser", "sstupid": "stupid", "stuupid": "stupid", "iidiioott": "idiot", "ttrraasshh": "trash", "idio+": "idiot", "455": "ass", "moron123": "moron", "TRASH!!": "trash"}
     assert {w: r.word(w) for w in want} == want
-    assert r.spelt("idiot") == ["idiot"] and r.spelt("trashscum") == ["trash", "scum"]
     pieces = ["ab", "é#1", ""]
     brute = Counter()
     for p, n in zip(pieces, (2, 1, 3), strict=True):
@@ -491,18 +494,74 @@ def test_restoring():
     assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == brute
 
 
+def all_readings(model, seen):
+    """Every path through the lattice of a short word, with its cost: (cost, text)."""
+    kind = lambda y: int(toxicity.classes_of(y)[0])
+    out = []
+
+    def walk(i, a, b, text, total):
+        if i == len(seen):
+            out.append((total + (model.cost[(a * 64 + b) * 64] if a or b else 0.0), text))
+            return
+        x, same = seen[i], i > 0 and seen[i - 1] == seen[i]
+        if x == " ":
+            single = seen[i - 2 : i - 1] in ("", " ") and seen[i + 2 : i + 3] in ("", " ")
+            if a or b:
+                walk(i + 1, 0, 0, text + " ", total + model.cost[(a * 64 + b) * 64] + (toxicity.PART_SINGLE if single else 0))
+                walk(i + 1, a, b, text, total + (toxicity.JOIN_SINGLE if single else toxicity.JOIN))
+            else:
+                walk(i + 1, 0, 0, text, total)
+            return
+        for y, price in [(x, 0.0), *((y, toxicity.SUBSTITUTE) for y in toxicity.LOOKALIKES.get(x, ""))]:
+            walk(i + 1, b, kind(y), text + y, total + price + model.cost[(a * 64 + b) * 64 + kind(y)])
+            if same and kind(y) == b:
+                walk(i + 1, a, b, text, total + (0.0 if seen[i - 2 : i - 1] == x else toxicity.REPEAT))
+        if not x.isalnum():
+            walk(i + 1, a, b, text, total + (0.0 if same else toxicity.DROP))
+
+    walk(0, 0, 0, "", 0.0)
+    return out
+
+
+def test_the_search_finds_the_likeliest_of_all_readings():
+    model, rng = restorer().model, np.random.default_rng(11)
+    words = ["1d10t", "mm0rr", "s t u", "s tu p", "a$$!!", "..x", "l0 $er", "!!!!", "ttt", "", "t-r-4", "a b", "0 0"]
+    words += ["".join(rng.choice(list("aasmtio01$!. -"), 6)).strip() for _ in range(150)]
+    for w in words:
+        w = re.sub(" +", " ", w)
+        cost, text = model.decode(w)
+        readings = all_readings(model, w)
+        assert abs(cost - min(c for c, _ in readings)) < 1e-4, w
+        assert min(c for c, t in readings if t == text) < cost + 1e-4, w
+
+
 def test_restoring_reaches_every_sign_of_the_channel():
-    text = ("you stupid idiot loser what a moron the total scum and trash ass are here with us today it is pathetic and worthless " + " ".join(PROSE) + " ") * 30
-    words = Counter(text.split())
-    r = toxicity.Restorer(toxicity.CharacterModel(toxicity.trigram_counts(list(words), np.array(list(words.values())))))
-    want = {"mmoron": "moron", "lloser": "loser", "sstupid": "stupid", "iidiioott": "idiot", "ttrraasshh": "trash", "idio+": "idiot", "455": "ass", "moron123": "moron", "worthless": "worthless"}
-    assert {w: r.word(w) for w in want} == want
-    found = toxicity.Words(r, {f: i for i, f in enumerate(["moron$", "stupid$", "loser$", "scum$"])})
-    texts = ["a mo ron here", "st up id.", "l os er", "m0 r0n", "sc um", "mo", "ron"]
-    assert found.texts(pa.array(texts)) == [{0}, {1}, {2}, {0}, {3}, set(), set()]
-    assert found.texts(pa.array([" ".join(PROSE)])) == [set()]
-    plain = toxicity.Words(r)
-    assert all(found._may_start(w) for w in ("mm0ron", "#m.oron", "5tupid", "1oser")) and "moron$" in plain.texts(pa.array(["mo ron"]))[0]
+    r = restorer()
+    found = toxicity.Words(r, {f: i for i, f in enumerate(["moron$", "stupid$", "loser$", "scum$", "stupi"])})
+    texts = ["a mo ron here", "st up id.", "l os er", "m0 r0n", "sc um", "mo", "ron", "s t u p i d", "s  t  u  p  i  d", "stuupid", "stu pid", "so s t u p i d m o r o n", "5 + u p ! d", "stupidly"]
+    assert found.texts(pa.array(texts)) == [{0}, {1, 4}, {2}, {0}, {3}, set(), set(), {1, 4}, {1, 4}, {1, 4}, {1, 4}, {0, 1, 4}, {1, 4}, {4}]
+    assert found.texts(pa.array([" ".join(PROSE), "", " ", "\n\t"])) == [set()] * 4
+    # the gates let through whatever the lattice reads as a feature
+    plain, rng = toxicity.Words(r), np.random.default_rng(6)
+    for _ in range(300):
+        word = list(str(rng.choice(["moron", "stupid", "loser", "scum"])))
+        for k in rng.choice(len(word), 2, replace=False):
+            look = [c for c, ys in toxicity.LOOKALIKES.items() if word[k] in ys]
+            word[k] = str(rng.choice([*look, word[k] * 2, word[k] * 7, word[k].upper(), word[k] + "."]))
+        text = pa.array(["".join(word)])
+        named = {f: i for f, i in found.known.items() if f in plain.texts(text)[0]}
+        assert found.texts(text) == [set(named.values())], text
+    assert toxicity.Words(r, {}).texts(pa.array(texts)) == [set()] * len(texts)
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    found, began = toxicity.Words(restorer(), {"moron$": 0, "mor": 1}), time.time()
+    assert found.texts(pa.array(["m" * 1_000_000 + "oron", "mo" + "r" * 1_000_000 + "on", "m" * 500_000 + " " + "o" * 500_000])) == [{0, 1}, {0, 1}, set()]
+    long = "m0rx1" * 200_000
+    assert found.texts(pa.array([long, "x" * 1_000_000, "m.o " * 250_000])) == [{1}, set(), set()]
+    assert time.time() - began < 30
 
 
 def test_toxicity(spark):
