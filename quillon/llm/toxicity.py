@@ -6,8 +6,8 @@ under a character trigram model finds the likeliest. A word of letters, no two a
 logistic model over the beginnings of the restored words then scores the text.
 
 Which lattices are built: in training one for each distinct piece with a sign of the channel; in scoring only where some
-reading can begin as a feature does, told by a pattern over look-alikes, marks and repeats, since no other reading can
-count. A word parted by spaces is looked for where a piece can be the beginning of a longer feature and the pieces after it can
+reading can begin as a feature does, told by rough outlines (marks dropped, look-alikes read, repeats as one), since no other
+reading can count. A word parted by spaces is looked for where a piece can be the beginning of a longer feature and the pieces after it can
 go on with it; the lattice over the next ``RUN`` characters then says whether the spaces are dropped or part words.
 
 Corpus statistics: trigram counts of every clean word (letters only) of every text, over a fixed alphabet of 64 classes, so the
@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .byte_bpe import slices
 from .shared import map_batches, read_table, whole
 
-#: Labelled rows to fit on, features of the classifier at most, documents of label 1 and log-likelihood ratio a feature needs.
-TRAIN_ROWS, FEATURES, MIN_DOCS, MIN_RATIO = 20_000, 3_000, 4, 16.0
+#: Labelled rows to fit on, features of the classifier at most, documents of label 1 and log-likelihood ratio a feature needs,
+#: and features, the strongest ones, that are looked for across spaces.
+TRAIN_ROWS, FEATURES, MIN_DOCS, MIN_RATIO, ACROSS = 20_000, 600, 4, 16.0, 200
 #: Rows of this remainder of crc32(id) mod 4 never give labels.
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -208,15 +209,111 @@ def features_of(word: str) -> list[str]:
     return [word[:k] for k in PREFIXES if k < len(word)] + [word + "$"] * (len(word) <= WHOLE)
 
 
-def _readable(letter: str) -> str:
-    """A pattern's class of the characters that read as a letter."""
-    seen = letter + letter.upper() * (len(letter.upper()) == 1) + "".join(k for k, v in LOOKALIKES.items() if letter in v)
-    return "[" + "".join(re.escape(c) for c in seen) + "]"
-
-
-def _matching(strings: pa.Array, among: np.ndarray, pattern: str) -> np.ndarray:
-    """Which of the strings ``among`` these places match."""
-    return among[pc.match_substring_regex(strings.take(pa.array(among)) if len(among) < len(strings) else strings, pattern).to_numpy(zero_copy_only=False)]
+def _fold_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point under 0x250: what it counts as where readings are told apart roughly (0: dropped), whether it may be read
+    or dropped, and whether it is a letter. Letters that share a look-alike count as one."""
+    letters = {y for ys in LOOKALIKES.values() for y in ys}
+    same = {y: min(next((ys for ys in LOOKALIKES.values() if y in ys and 1 < len(ys) < 5), y)) for y in letters}
+    fold, either, letter = (np.zeros(0x250, t) for t in (np.uint64, bool, bool))
+    for k in range(0x250):
+        c = chr(k)
+        letter[k] = c.isalpha()
+        if c in LOOKALIKES:
+            fold[k], either[k] = ord(same[min(LOOKALIKES[c])]), not c.isdigit()
+        elif c.isalnum():
+            fold[k] = ord(same.get(c, c))
+    return fold, either, letter
+
+
+_FOLD, _EITHER, _LETTER = _fold_tables()
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Outlines:
+    """Rough readings of strings: marks dropped, look-alikes read, repeats taken as one. ``keys[k]`` tells the first k + 1
+    letters; ``odd`` strings have more than one such reading among their first letters."""
+
+    def __init__(self, strings: pa.Array):
+        low = pc.utf8_lower(strings)
+        n = pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.strings, m = strings, len(n)
+        points = np.frombuffer("".join(low.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+        owner, place = np.repeat(np.arange(m), n), np.minimum(points, 0x24F)
+        plain = points < 0x250
+        fold = np.where(plain, _FOLD[place], points.astype(np.uint64))
+        either, letter = plain & _EITHER[place], ~plain | _LETTER[place]
+        for c in LOOKALIKES:
+            if ord(c) >= 0x250:
+                at = points == ord(c)
+                fold[at], either[at], letter[at] = _FOLD[ord(LOOKALIKES[c][0])], True, False
+        letters = np.cumsum(letter)
+        before = np.append(0, letters)[np.cumsum(n) - n]
+        either |= (letters == before[owner]) & ~letter  # a number ahead of the letters may be read or cut off
+        keep = fold > 0
+        fold, owner, either = fold[keep], owner[keep], either[keep]
+        again = np.append(False, (fold[1:] == fold[:-1]) & (owner[1:] == owner[:-1])) if len(fold) else np.zeros(0, bool)
+        odd, fold, owner = np.unique(owner[either & again]), fold[~again], owner[~again]
+        either = either[~again]
+        self.size = np.bincount(owner, minlength=m)
+        rank = np.arange(len(owner)) - (np.cumsum(self.size) - self.size)[owner]
+        first = rank < PARTED
+        self.odd = np.zeros(m, bool)
+        self.odd[odd] = True
+        self.odd[owner[either & first]] = True
+        cells = np.zeros((m, PARTED), np.uint64)
+        cells[owner[first], rank[first]] = fold[first]
+        self.keys, key = [], np.zeros(m, np.uint64)
+        for k in range(PARTED):
+            key = (key + cells[:, k]) * _MIX
+            key ^= key >> np.uint64(29)
+            self.keys.append(key)
+
+
+class Gate:
+    """Tells strings of which some reading begins with one of the targets (at most PARTED letters each), or is a part of one.
+    It may let others through."""
+
+    def __init__(self, targets: list[str]):
+        self.trie: dict = {}
+        for t in targets:
+            node = self.trie
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = {}
+        outlines = Outlines(pa.array(targets, pa.string()))
+        self.whole = [np.unique(outlines.keys[k][outlines.size == k + 1]) for k in range(PARTED)]
+        self.part = [np.unique(outlines.keys[k][outlines.size > k]) for k in range(PARTED)]
+
+    def _walk(self, seen: str) -> tuple[bool, bool]:
+        """For an odd string: whether a reading begins with a target, whether one is a part of a target."""
+        low = _reduced(seen)
+        nodes, before = [self.trie], ""
+        for x in low:
+            new = {}
+            for node in nodes:
+                if not x.isalnum() or x == before or (node is self.trie and not x.isalpha()):
+                    new[id(node)] = node
+                for y in (x, *LOOKALIKES.get(x, "")):
+                    if y in node and y:
+                        if "" in node[y]:
+                            return True, True
+                        new[id(node[y])] = node[y]
+            nodes, before = list(new.values()), x
+            if not nodes:
+                return False, False
+        return False, any(node is not self.trie for node in nodes)
+
+    def test(self, o: Outlines) -> tuple[np.ndarray, np.ndarray]:
+        """(reached, alive): whether some reading begins with a target; whether it does or is a part of one."""
+        reached, alive = np.zeros(len(o.size), bool), np.zeros(len(o.size), bool)
+        for k in range(PARTED):
+            reached |= (o.size > k) & np.isin(o.keys[k], self.whole[k])
+            alive |= (o.size == k + 1) & np.isin(o.keys[k], self.part[k])
+        alive |= reached
+        odd = np.flatnonzero(o.odd)
+        for i, seen in zip(odd.tolist(), o.strings.take(pa.array(odd)).to_pylist(), strict=True):
+            reached[i], alive[i] = self._walk(seen)
+        return reached, alive
 
 
 class Words:
@@ -227,21 +324,9 @@ class Words:
         self.of_piece: dict[str, tuple] = {}
         self.of_run: dict[tuple, tuple] = {}
         if known is not None:
-            # patterns of pieces: a reading begins as a feature does; what spaces may part (whole words, and beginnings of PARTED
-            # letters) is reached; a part of it is there and nothing else
-            starts = sorted({f.rstrip("$")[: PREFIXES[0]] for f in known})
-            targets = sorted({f.rstrip("$")[:PARTED] for f in known if f.endswith("$") or len(f) >= PARTED})
-            # (a letter beyond ASCII passes for a mark here: the plain class keeps the automaton small)
-            mark, edge, none = "[^0-9A-Za-z]*", r"\A[^A-Za-z]*?", r"a\A"
-            letter = {c: _readable(c) + "+" for f in (*starts, *targets) for c in f}
-
-            def some(f: str) -> str:
-                return letter[f[0]] + mark + f"(?:{some(f[1:])})?" if len(f) > 1 else letter[f] + ".*"
-
-            whole = lambda of: edge + "(?:" + "|".join(mark.join(letter[c] for c in f) for f in of) + ")" if of else none
-            self.start, self.reach = whole(starts), whole(targets)
-            self.part = f"(?s){edge}(?:" + "|".join(map(some, targets)) + r")\z" if targets else none
-            self.any = f"{self.start}|{self.part}"
+            self.start = Gate(sorted({f.rstrip("$")[: PREFIXES[0]] for f in known}))
+            # what spaces may part: whole words, and beginnings of PARTED letters
+            self.parts = Gate(sorted({f.rstrip("$")[:PARTED] for f, i in known.items() if i < ACROSS and (f.endswith("$") or len(f) >= PARTED)}))
 
     def _kept(self, of: dict, key, make) -> tuple:
         if key not in of:
@@ -274,8 +359,8 @@ class Words:
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         asked = np.arange(len(unique))
         if self.known is not None:
-            some = _matching(unique, asked, self.any)
-            asked, parts = _matching(unique, some, self.start), _matching(unique, some, self.part)
+            outlines = Outlines(unique)
+            asked = np.flatnonzero(self.start.test(outlines)[0])
         values: dict[int, tuple] = {}
         for c, seen in zip(asked.tolist(), unique.take(pa.array(asked)).to_pylist(), strict=True):
             if found := self._kept(self.of_piece, seen, self._piece):
@@ -287,13 +372,12 @@ class Words:
         for o, c in zip((pairs // len(unique)).tolist(), (pairs % len(unique)).tolist(), strict=True):
             out[o].update(values[c])
         if self.known is not None:
-            self._parted(unique, codes, offsets, parts, out)
+            reached, alive = self.parts.test(outlines)
+            self._parted(unique, codes, offsets, alive & ~reached, out)
         return out
 
-    def _parted(self, unique: pa.Array, codes: np.ndarray, offsets: np.ndarray, parts: np.ndarray, out: list[set]) -> None:
-        """Adds the features of words that spaces part; ``parts``: the pieces that may be a part of one."""
-        head = np.zeros(len(unique), bool)
-        head[parts] = True
+    def _parted(self, unique: pa.Array, codes: np.ndarray, offsets: np.ndarray, head: np.ndarray, out: list[set]) -> None:
+        """Adds the features of words that spaces part; ``head``: which pieces may begin one and be less than it."""
         full = pc.greater(pc.binary_length(unique), 0).to_numpy(zero_copy_only=False)
         last = np.zeros(len(codes), bool)
         last[offsets[1:][offsets[1:] > 0] - 1] = True
@@ -303,9 +387,7 @@ class Words:
         if not len(pairs):
             return
         joined = pc.binary_join_element_wise(unique.take(pa.array(pairs // len(unique))), unique.take(pa.array(pairs % len(unique))), "")
-        go_on = np.zeros(len(pairs), bool)
-        go_on[_matching(joined, np.arange(len(pairs)), self.part)] = True
-        at = at[go_on[which]]
+        at = at[self.parts.test(Outlines(joined))[1][which]]
         owner = np.searchsorted(offsets, at, "right") - 1
         seen, runs = unique.to_pylist(), []
         for a, end in zip(at.tolist(), offsets[owner + 1].tolist(), strict=True):
@@ -314,7 +396,7 @@ class Words:
                 size += len(seen[codes[stop]])
                 stop += 1
             runs.append((*[seen[c] for c in codes[a:stop].tolist()], stop < end))
-        for k in _matching(pa.array(["".join(r[:-1]) for r in runs], pa.string()), np.arange(len(runs)), self.reach).tolist():
+        for k in np.flatnonzero(self.parts.test(Outlines(pa.array(["".join(r[:-1]) for r in runs], pa.string())))[0]).tolist():
             out[owner[k]].update(self._kept(self.of_run, runs[k], self._run))
 
 
