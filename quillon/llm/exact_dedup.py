@@ -3,7 +3,8 @@
 Every document is read as the byte string ``length, normalised text``. A round deals the documents that are still
 together by their next digit - a block of successive bytes - and keeps a group on only while it holds several rows and
 has bytes left. Groups are told apart by the bytes alone; no digest takes part in the comparison. Blocks widen by
-``GROWTH`` a round, so a text of n bytes needs log(n) rounds, and each byte of a document is dealt at most once.
+``GROWTH`` a round, so a text of n bytes needs log(n) rounds, and each byte of a document is dealt at most once. A group has
+a number of its own, given when its table is written, so groups whose rows share an id stay apart.
 
 Scale: counting a round's groups is a map-side combined aggregation, so a group with a third of all rows reaches its
 reducer as one row per map task. The groups with several rows are written as a table first; the join that takes the
@@ -31,51 +32,40 @@ def exact_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
     Texts are equal when identical after each run of white space is made one space; a null text equals the empty one.
     ``keep_id`` is the smallest id of the equal texts. Rows with a null id take part; they are kept only where no row
     of their group has an id (keep_id is then null). Rows that repeat both id and text cannot be told apart and are
-    flagged alike; group_size counts each. An empty table gives no rows. Other columns of ``df`` are ignored, whatever
+    flagged alike; group_size counts each. Rows that share an id but not the text are in a group each. An empty table gives no rows. Other columns of ``df`` are ignored, whatever
     their names.
     """
     work = Work(spark, "radix")
-    id_type = df.schema[id_col].dataType
     text = normalise(F.col(f"`{text_col}`"))
     raw = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("t"))
     state = raw.select(
         "doc_id",
         F.octet_length("t").cast("long").alias("n"),
         F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"),
-        F.lit(None).cast(id_type).alias("gid"),
-        # only where a group has no id at all: keeps groups of different texts apart
-        F.when(F.col("doc_id").isNull(), F.xxhash64("t")).otherwise(F.lit(0)).alias("tie"),
+        F.lit(0).cast("long").alias("gid"),
         F.col("t").cast("binary").alias("rest"),
     )
     done, consumed, width, rounds, path = [], 0, FIRST_BLOCK, 0, None
+    keys = ["n", "gid", "block"]
     while True:
         rounds += 1
-        keys = ["n", "gid", "tie_g", "block"]
         dealt = state.withColumn("block", F.expr(f"substring(rest, 1, {width})"))
-        if rounds == 1:
-            dealt = dealt.withColumn("tie_g", F.lit(0).cast("long"))
-        groups, groups_path = work.table(
-            dealt.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.max("tie").alias("tie_max"))
-            .filter("size > 1"),
-            "groups",
-        )
-        g = groups.select(*[F.col(k).alias(f"g_{k}") for k in keys], "size", "least", "tie_max")
+        found = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least")).filter("size > 1")
+        # a group's number holds once its table is written
+        groups, groups_path = work.table(found.withColumn("number", F.monotonically_increasing_id()), "groups")
+        g = groups.select(*[F.col(k).alias(f"g_{k}") for k in keys], "size", "least", "number")
         consumed += width
-        joined = dealt.join(
-            g.hint("merge"),  # the same plan at every size: texts move once a round, by their next block
-            (F.col("n") == F.col("g_n")) & F.col("gid").eqNullSafe(F.col("g_gid")) & (F.col("tie_g") == F.col("g_tie_g")) & (F.col("block") == F.col("g_block")),
-            "left",
-        )
+        same = (F.col("n") == F.col("g_n")) & (F.col("gid") == F.col("g_gid")) & (F.col("block") == F.col("g_block"))
+        # the same plan at every size: texts move once a round, by their next block
+        joined = dealt.join(g.hint("merge"), same, "left")
         alone = F.col("size").isNull()
         ended = alone | (F.col("n") <= F.lit(consumed))
         step = joined.select(
             "doc_id",
             "n",
             "text_sha256",
-            F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("gid"),
-            F.when(F.col("least").isNull() & ~alone, F.col("tie_max")).otherwise(F.lit(0)).cast("long").alias("tie_g"),
-            "tie",
+            F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("keep_id"),
+            F.col("number").alias("gid"),
             F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
             F.lit(rounds).alias("n_rounds"),
             F.when(ended, F.lit(None).cast("binary")).otherwise(F.expr(f"substring(rest, {width + 1})")).alias("rest"),
@@ -86,8 +76,8 @@ def exact_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
             work.drop(f"{path}/ended=false")
         work.drop(groups_path)
         path = new_path
-        done.append(table.filter("ended").drop("rest", "ended", "n", "tie", "tie_g"))
-        state = table.filter("not ended").select("doc_id", "n", "text_sha256", "gid", "tie_g", "tie", "rest")
+        done.append(table.filter("ended").select("doc_id", "text_sha256", "keep_id", "group_size", "n_rounds"))
+        state = table.filter("not ended").select("doc_id", "n", "text_sha256", "gid", "rest")
         if state.isEmpty():
             break
         width *= GROWTH
@@ -96,9 +86,9 @@ def exact_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
         out = out.unionByName(d)
     return out.select(
         "doc_id",
-        F.col("gid").alias("keep_id"),
+        "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("gid")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
         "n_rounds",
     )

@@ -87,6 +87,15 @@ def test_exact_dedup_of_nulls_alone(spark):
     assert all(r.keep_id is None for r in got)
 
 
+def test_exact_dedup_of_one_id_with_several_texts(spark):
+    tail = " the same tail of both texts" * 40
+    a, b = "A" * 40 + tail, "B" * 40 + tail
+    df = spark.createDataFrame([(5, a), (6, a), (5, b), (7, b), (5, "c"), (None, a)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(spark, df).collect())
+    want = [(5, 5, 3, True, sha(a)), (6, 5, 3, False, sha(a)), (None, 5, 3, False, sha(a)), (5, 5, 2, True, sha(b)), (7, 5, 2, False, sha(b)), (5, 5, 1, True, sha("c"))]
+    assert got == Counter(want)
+
+
 # ---- tokens ----
 
 
