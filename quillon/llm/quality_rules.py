@@ -5,9 +5,10 @@ bin each, larger ones keep their six leading bits, so a quantile is exact or low
 counts - exactly, in any order - so the same table gives every (language, source), every language and the corpus. A
 group of fewer than ``MIN_DOCS`` documents takes the thresholds of its language, a small language those of the corpus.
 
-A document is kept if the base rules pass and each measure lies within its group's fence: the median, give or take
-``REACH`` times the distance from the median to the quiet side's 5 % quantile, or ``SLACK`` where that is more. Symbols,
-repeated lines and repeated words have an upper fence; the mean length of words has both.
+A document is kept if the base rules pass and each measure lies within its group's fences. The upper fence is the 90 %
+quantile and ``REACH`` times its distance from the median more, the lower one the same below; ``GUARD`` is added so that a
+group in which nearly all values are equal doesn't reject the next one. Symbols, repeated lines (but for one) and repeated words
+have an upper fence; the mean length of words has both.
 
 Scale: one scan of the texts makes a narrow table of measures; the sketch is a map-side combined count, so a hot source is
 a few hundred rows per task; thresholds are as many as sources and join by (lang, source), for which Spark picks
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .shared import SPACE_CLASS, Work, read_table, whole
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_DOCS, REACH = 200, 5
-#: Least distance of a fence from the median, in the measures' units (thousandths).
-SLACK = {"symbol": 100, "dup_line": 500, "repeat": 350, "word_len": 2000}
+MIN_DOCS, REACH = 200, 3
+#: Room beyond a fence, in the measures' units (thousandths).
+GUARD = {"symbol": 50, "dup_line": 200, "repeat": 250, "word_len": 500}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -72,7 +73,7 @@ def with_measures(df: DataFrame, text: Column) -> DataFrame:
         {
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
             "symbol": per("n_symbols", "n_words"),
-            "dup_line": per("n_dup_lines", "n_lines"),
+            "dup_line": per("greatest(n_dup_lines - 1, 0)", "n_lines"),
             "repeat": per("n_repeat_words", "n_words"),
             "word_len": per("word_chars", "n_words"),
         }
@@ -81,7 +82,7 @@ def with_measures(df: DataFrame, text: Column) -> DataFrame:
 
 def sketches(measures: DataFrame) -> DataFrame:
     """(lang, source, measure, bin, n): one mergeable sketch per language, source and measure."""
-    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in SLACK]))
+    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in GUARD]))
     flat = measures.filter(~F.col("base_failed")).select("lang", "source", stack.alias("x")).select("lang", "source", "x.measure", "x.v")
     # CAST keeps six leading bits: the bin is named by its least value
     bin_of = F.expr("CASE WHEN v < 64 THEN v ELSE shiftleft(shiftright(v, length(bin(v)) - 6), length(bin(v)) - 6) END")
@@ -94,16 +95,16 @@ def _fences(bins: DataFrame, keys: list[str], level: str) -> DataFrame:
     by = ", ".join([*keys, "measure"])
     ranked = merged.withColumns({"upto": F.expr(f"sum(n) OVER (PARTITION BY {by} ORDER BY bin)"), "total": F.expr(f"sum(n) OVER (PARTITION BY {by})")})
     q = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bin")))
-    quantiles = ranked.groupBy(*keys, "measure").agg(q(5).alias("q05"), q(50).alias("q50"), q(95).alias("q95"), F.max("total").alias("total"))
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])[F.col("measure")].cast("long")
+    quantiles = ranked.groupBy(*keys, "measure").agg(q(10).alias("q10"), q(50).alias("q50"), q(90).alias("q90"), F.max("total").alias("total"))
+    guard = F.create_map(*[F.lit(x) for kv in GUARD.items() for x in kv])[F.col("measure")].cast("long")
     fenced = quantiles.withColumns(
         {
-            "high": F.col("q50") + F.greatest(REACH * (F.col("q50") - F.col("q05")), slack),
-            "low": F.when(F.col("measure") == "word_len", F.col("q50") - F.greatest(REACH * (F.col("q95") - F.col("q50")), slack)).otherwise(F.lit(0)),
+            "high": F.col("q90") + REACH * (F.col("q90") - F.col("q50")) + guard,
+            "low": F.when(F.col("measure") == "word_len", F.col("q10") - REACH * (F.col("q50") - F.col("q10")) - guard).otherwise(F.lit(0)),
         }
     )
     pick = lambda c, m: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}")
-    fences = [pick(c, m) for m in SLACK for c in ("low", "high")]
+    fences = [pick(c, m) for m in GUARD for c in ("low", "high")]
     wide = fenced.groupBy(*keys).agg(F.max("total").alias("total"), *fences)
     names = [c for c in wide.columns if c not in keys]
     return wide.select(*[F.col(k).alias(f"{level}_{k}") for k in keys], F.struct(*names).alias(level))
@@ -132,7 +133,7 @@ def quality(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
     bins, _ = work.table(sketches(measures), "sketches")
     judged = measures.join(thresholds(bins), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     inside = F.lit(True)
-    for m in SLACK:
+    for m in GUARD:
         inside = inside & F.col(m).between(F.col(f"t.low_{m}"), F.col(f"t.high_{m}"))
     return judged.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "lang", "source")
 
@@ -142,22 +143,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    fence = lambda c, keys: ", ".join(f"max({c}) FILTER (measure = '{m}') AS {c}_{m}" for m in SLACK)
-    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in SLACK.items()) + " END"
+    fence = lambda c, keys: ", ".join(f"max({c}) FILTER (measure = '{m}') AS {c}_{m}" for m in GUARD)
+    guard = "CASE measure " + " ".join(f"WHEN '{m}' THEN {g}" for m, g in GUARD.items()) + " END"
 
     def level(name: str, keys: str) -> str:
         k = keys + ", " if keys else ""
         return f"""
 {name}_r AS (SELECT {k}measure, bin, n, sum(n) OVER (PARTITION BY {k}measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {k}measure) AS total
   FROM (SELECT {k}measure, bin, sum(n) AS n FROM bins GROUP BY ALL)),
-{name}_q AS (SELECT {k}measure, min(bin) FILTER (100 * upto >= 5 * total) AS q05, min(bin) FILTER (100 * upto >= 50 * total) AS q50,
-  min(bin) FILTER (100 * upto >= 95 * total) AS q95, max(total) AS total FROM {name}_r GROUP BY ALL),
-{name}_f AS (SELECT {k}measure, total, q50 + greatest({REACH} * (q50 - q05), {slack}) AS high,
-  CASE WHEN measure = 'word_len' THEN q50 - greatest({REACH} * (q95 - q50), {slack}) ELSE 0 END AS low FROM {name}_q),
+{name}_q AS (SELECT {k}measure, min(bin) FILTER (100 * upto >= 10 * total) AS q10, min(bin) FILTER (100 * upto >= 50 * total) AS q50,
+  min(bin) FILTER (100 * upto >= 90 * total) AS q90, max(total) AS total FROM {name}_r GROUP BY ALL),
+{name}_f AS (SELECT {k}measure, total, q90 + {REACH} * (q90 - q50) + {guard} AS high,
+  CASE WHEN measure = 'word_len' THEN q10 - {REACH} * (q50 - q10) - {guard} ELSE 0 END AS low FROM {name}_q),
 {name} AS (SELECT {k}max(total) AS total, {fence("low", keys)}, {fence("high", keys)} FROM {name}_f {"GROUP BY " + keys if keys else ""}),"""
 
-    pick = ", ".join(f"CASE WHEN o.total >= {MIN_DOCS} THEN o.{c}_{m} WHEN l.total >= {MIN_DOCS} THEN l.{c}_{m} ELSE a.{c}_{m} END AS {c}_{m}" for m in SLACK for c in ("low", "high"))
-    inside = " AND ".join(f"m.{m} BETWEEN t.low_{m} AND t.high_{m}" for m in SLACK)
+    pick = ", ".join(f"CASE WHEN o.total >= {MIN_DOCS} THEN o.{c}_{m} WHEN l.total >= {MIN_DOCS} THEN l.{c}_{m} ELSE a.{c}_{m} END AS {c}_{m}" for m in GUARD for c in ("low", "high"))
+    inside = " AND ".join(f"m.{m} BETWEEN t.low_{m} AND t.high_{m}" for m in GUARD)
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS s FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -172,9 +173,9 @@ base AS (SELECT d.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regex
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM d JOIN w USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line,
+  CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol, CASE WHEN n_lines > 0 THEN 1000 * greatest(n_dup_lines - 1, 0) // n_lines ELSE 0 END AS dup_line,
   CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_len FROM base),
-flat AS (SELECT lang, source, unnest([{", ".join(f"'{m}'" for m in SLACK)}]) AS measure, unnest([{", ".join(SLACK)}]) AS v FROM m WHERE NOT base_failed),
+flat AS (SELECT lang, source, unnest([{", ".join(f"'{m}'" for m in GUARD)}]) AS measure, unnest([{", ".join(GUARD)}]) AS v FROM m WHERE NOT base_failed),
 bins AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bin, count(*) AS n FROM flat GROUP BY ALL),
 {level("o", "lang, source")}{level("l", "lang")}{level("a", "")}
 t AS (SELECT o.lang, o.source, {pick} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a)

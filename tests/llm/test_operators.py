@@ -302,6 +302,22 @@ def test_thresholds_follow_the_group_and_sketches_merge(spark):
     assert parts == whole
 
 
+def test_every_measures_fence_follows_the_groups_tail(spark):
+    """Two groups whose upper tenths differ in one measure have different fences for it, and agree in the others."""
+    rng = np.random.default_rng(7)
+    for m in quality_rules.GUARD:
+        zero = {x: np.zeros(600, int) for x in quality_rules.GUARD} | {"word_len": np.full(600, 5000)}
+        zero[m] = zero[m] + np.where(np.arange(600) % 300 >= 240, rng.integers(5, 300, 600) * np.where(np.arange(600) < 300, 1, 3), 0)
+        rows = [(i, "en", "a" if i < 300 else "b", False, *(int(zero[x][i]) for x in quality_rules.GUARD)) for i in range(600)]
+        df = spark.createDataFrame(rows, "doc_id long, lang string, source string, base_failed boolean, " + ", ".join(f"{x} long" for x in quality_rules.GUARD))
+        t = {r.t_source: r.t for r in quality_rules.thresholds(quality_rules.sketches(df)).collect()}
+        for x in quality_rules.GUARD:
+            assert (t["a"][f"high_{x}"] < t["b"][f"high_{x}"]) == (x == m)
+            values = np.sort(zero[x][:300])
+            q = [int(v) if v < 64 else int(v) >> int(v).bit_length() - 6 << int(v).bit_length() - 6 for v in (values[149], values[269])]
+            assert t["a"][f"high_{x}"] == q[1] + quality_rules.REACH * (q[1] - q[0]) + quality_rules.GUARD[x]
+
+
 # ---- archives ----
 
 
