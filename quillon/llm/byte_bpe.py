@@ -24,7 +24,9 @@ _WS = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 _ODD = rf"{_WS}{_WS}|\A{_WS}|{_WS}\z"
 #: Pieces sent to the library in one string; pieces kept between batches, of which the half met most often outlives an
 #: overflow; bytes of text worked on at once.
-_RUN, KEPT_PIECES, SLICE_BYTES = 64, 600_000, 8_000_000
+_RUN, KEPT_PIECES, SLICE_BYTES = 64, 400_000, 4_000_000
+#: Strings that the library gets in one call: what it makes of them is many times their size.
+_CALL = 256
 
 
 class ByteBpe:
@@ -53,8 +55,12 @@ class ByteBpe:
         self.ids = self.ids[np.repeat(self.at[keep] - (ends - n), n) + np.arange(n.sum())]
         self.words, self.lens, self.at, self.met = self.words.take(pa.array(keep)), n, (ends - n).astype(np.int32), self.met[keep]
 
+    def _encoded(self, texts: list[str]) -> Iterator:
+        for k in range(0, len(texts), _CALL):
+            yield from self.tok.encode_batch_fast(texts[k : k + _CALL], add_special_tokens=False)
+
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        runs = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        runs = [np.array(e.ids, np.uint32) for e in self._encoded(texts)]
         return np.concatenate([np.empty(0, np.uint32), *runs]), np.array([len(r) for r in runs], np.int64)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +68,7 @@ class ByteBpe:
         runs = [pieces[i : i + _RUN] for i in range(0, len(pieces), _RUN)]
         ids, lens = [], []
         joined = ["".join(p if p[0] == "\n" else " " + p for p in run) for run in runs]
-        for run, e in zip(runs, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        for run, e in zip(runs, self._encoded(joined), strict=True):
             got = np.array(e.ids, np.uint32)
             firsts = np.flatnonzero(self.starts_piece[got])
             if len(firsts) == len(run) and firsts[0] == 0:

@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker, at most (or one row).
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 _BATCH_KEY, _CLEAN_KEY = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: The worker's caches by operator: how to forget them.

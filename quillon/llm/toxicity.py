@@ -40,6 +40,8 @@ THRESHOLD = 0.3
 KEPT_WORDS, PREFIXES, WHOLE = 100_000, (3, 4, 5, 6, 7, 8), 32
 #: Characters of a run of pieces that is read at once; letters of a beginning that counts where spaces were dropped.
 RUN, PARTED = 32, 5
+#: Bytes of text worked on at once.
+SLICE_BYTES = 2_000_000
 
 # Characters that stand for letters.
 LOOKALIKES = {
@@ -214,7 +216,7 @@ def _fold_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     or dropped, and whether it is a letter. Letters that share a look-alike count as one."""
     letters = {y for ys in LOOKALIKES.values() for y in ys}
     same = {y: min(next((ys for ys in LOOKALIKES.values() if y in ys and 1 < len(ys) < 5), y)) for y in letters}
-    fold, either, letter = (np.zeros(0x250, t) for t in (np.uint64, bool, bool))
+    fold, either, letter = (np.zeros(0x250, t) for t in (np.uint32, bool, bool))
     for k in range(0x250):
         c = chr(k)
         letter[k] = c.isalpha()
@@ -238,16 +240,16 @@ class Outlines:
         n = pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64)
         self.strings, m = strings, len(n)
         points = np.frombuffer("".join(low.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
-        owner, place = np.repeat(np.arange(m), n), np.minimum(points, 0x24F)
+        owner, place = np.repeat(np.arange(m, dtype=np.int32), n), np.minimum(points, 0x24F)
         plain = points < 0x250
-        fold = np.where(plain, _FOLD[place], points.astype(np.uint64))
+        fold = np.where(plain, _FOLD[place], points)
         either, letter = plain & _EITHER[place], ~plain | _LETTER[place]
         for c in LOOKALIKES:
             if ord(c) >= 0x250:
                 at = points == ord(c)
                 fold[at], either[at], letter[at] = _FOLD[ord(LOOKALIKES[c][0])], True, False
-        letters = np.cumsum(letter)
-        before = np.append(0, letters)[np.cumsum(n) - n]
+        letters = np.cumsum(letter, dtype=np.int32)
+        before = np.append(np.int32(0), letters)[np.cumsum(n) - n]
         either |= (letters == before[owner]) & ~letter  # a number ahead of the letters may be read or cut off
         keep = fold > 0
         fold, owner, either = fold[keep], owner[keep], either[keep]
@@ -255,7 +257,7 @@ class Outlines:
         odd, fold, owner = np.unique(owner[either & again]), fold[~again], owner[~again]
         either = either[~again]
         self.size = np.bincount(owner, minlength=m)
-        rank = np.arange(len(owner)) - (np.cumsum(self.size) - self.size)[owner]
+        rank = np.arange(len(owner), dtype=np.int32) - (np.cumsum(self.size) - self.size).astype(np.int32)[owner]
         first = rank < PARTED
         self.odd = np.zeros(m, bool)
         self.odd[odd] = True
@@ -405,7 +407,7 @@ def corpus_trigrams(df: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(CLASSES**3)
-        for batch in slices(batches, text=0):
+        for batch in slices(batches, text=0, limit=SLICE_BYTES):
             counts = pc.ascii_split_whitespace(batch.column(0)).flatten().value_counts()
             # clean words only: what a noisy channel's source may say
             counts = counts.filter(pc.match_substring_regex(counts.field(0), _CLEAN))
@@ -482,7 +484,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, featur
     def count(batches):
         words, seen = Words(Restorer(CharacterModel(table.value[0]))), {}
         wanted = table.value[1]
-        for batch in slices(batches, text=0):
+        for batch in slices(batches, text=0, limit=SLICE_BYTES):
             for found in words.texts(batch.column(0)):
                 for f in found if wanted is None else found & wanted:
                     seen[f] = seen.get(f, 0) + 1
@@ -508,7 +510,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, featur
 
     def gather(batches):
         words = Words(Restorer(CharacterModel(table.value[0])), index)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             found = [sorted(x) for x in words.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
@@ -523,7 +525,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         words = shared.value.words()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             scores = [shared.value.score(x) for x in words.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
