@@ -4,17 +4,20 @@ The words' byte strings form an automaton in which equal suffixes share their st
 along a word's path they give its number, and that number's run of ids in a table. The automaton is three flat arrays, sorted
 by ``state, byte``, in one file that workers map into memory; a column of words is walked at once, a byte a step.
 Words outside the lexicon are merged as the vocabulary says - always the pair of least rank, the leftmost of equals - for
-many words at once.
+many words at once, and long words one by one over a heap.
 """
 
 from __future__ import annotations
 
+import heapq
 import mmap
 import tempfile
 
 import numpy as np
 
 _MAGIC, _NO = b"QLEX0001", np.iinfo(np.int64).max
+#: Bytes of a word from which on it is merged by itself, in n log n steps.
+LONG = 256
 
 
 def compile_words(entries: dict[bytes, list[int]]) -> bytes:
@@ -119,6 +122,7 @@ class Merges:
         self.made = pairs[:, 2]
         self.first = np.array([vocab[alphabet[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[alphabet[b] + word_end] for b in range(256)], np.int64)
+        self.table: dict[int, tuple[int, int]] = {}
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         want = a * self.size + b
@@ -133,6 +137,12 @@ class Merges:
         at = 0
         while at < len(order):
             end = at + 1
+            if lengths[order[at]] >= LONG:
+                block = order[at:end]
+                runs.append((block, self._long(data[begins[order[at]] : begins[order[at]] + lengths[order[at]]])))
+                counts[block] = len(runs[-1][1])
+                at = end
+                continue
             # a block has words of about the same length and a bounded number of cells
             widest = max(8, int(lengths[order[at]]) * 5 // 4)
             end = max(end, min(int(np.searchsorted(lengths[order], widest, "right")), at + max(1, 1_000_000 // widest)))
@@ -146,6 +156,31 @@ class Merges:
             out[np.repeat(starts[block] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return out, counts
 
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of one long word: a heap of (rank, place) over a linked list of its parts."""
+        if not self.table:
+            self.table = {k: (r, self.made[r].item()) for k, r in zip(self.key.tolist(), self.rank.tolist(), strict=True)}
+        ids, n, get, size = self.first[raw].tolist(), len(raw), self.table.get, self.size
+        ids[-1] = self.last[raw[-1]].item()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        found = self._ranks(np.array(ids[:-1]), np.array(ids[1:]))
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(found.tolist()) if r != _NO]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            # parts that were merged since have other ids, or none
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j], after[i] = self.made[rank].item(), -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k, m in ((before[i], i), (i, after[i])):
+                if k >= 0 and m < n and (pair := get(ids[k] * size + ids[m])):
+                    heapq.heappush(heap, (pair[0], k, ids[k], ids[m]))
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
     def _block(self, data, begins, lengths, counts, block) -> np.ndarray:
         width = int(lengths.max(initial=1))
         cols = np.arange(width)

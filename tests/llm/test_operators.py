@@ -250,6 +250,19 @@ def test_word_bpe_on_odd_texts():
         assert (k, i, m) == (len(e), " ".join(map(str, e)), tok.decode(e, skip_special_tokens=False)), t
 
 
+def test_long_words_are_merged_exactly_and_fast():
+    import time
+
+    tok, rng, bpe = Tokenizer.from_file(WORD), np.random.default_rng(12), word_bpe.WordBpe(WORD)
+    texts = ["".join(rng.choice(list(letters), n)) for letters in ("ab", "aaaaab", "thein", "étaßo") for n in (255, 256, 257, 700, 3000)]
+    n, ids, _ = bpe.encode(pa.array(texts))
+    for t, k, i in zip(texts, n, ids, strict=True):
+        assert (k, i) == (len(e := tok.encode(t, add_special_tokens=False).ids), " ".join(map(str, e)))
+    began = time.time()
+    n, ids, _ = bpe.encode(pa.array(["".join(rng.choice(list("abcdefgh"), 1_000_000)), "a" * 200_000]))
+    assert len(ids[0].split()) == n[0] > 200_000 and time.time() - began < 30
+
+
 def test_lexicon_is_minimal_and_finds_its_words():
     words = sorted({f"{a}{b}ing".encode() for a in ("walk", "talk", "jump", "w") for b in ("", "e", "er")} | {b"w", b"zing"})
     entries = {w: [k, k + 1] for k, w in enumerate(words)}
