@@ -1,18 +1,21 @@
 """Main text of web pages by a site style tree.
 
-Pages of a host are merged into one tree of element paths. A node's presentation importance is the entropy of its child
-sequences over the host's pages: one style everywhere is 0. A block's content importance falls with the number of pages
-it stands on: 1 - log_m(k) for a text on k of m pages, so text of one page is 1 and text of every page is 0. A block
-whose composite importance is low, and which enough of the host's pages share, is removed from each page.
-
-Before that, branches whose element or role says that they are never main text go: menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments. Where a page marks its article or main part, only that part is
-read. A block of an article counts as shared only if nearly every page of a larger host has it, so copies of one article do
-not take each other for boilerplate.
-
-Scale: pages send 64-bit hashes of paths and blocks, counted with map-side combine; only blocks of two pages or more go on. What a
-host keeps is bounded: blocks under the threshold stand on m^(1 - LOW) pages or more, so a host has few of them. Pages join
-their host's list; Spark broadcasts it when it is small by size, else merges and splits a hot host.
+The element trees of a host's pages are merged by path (block elements with their classes). Each node of the merged tree has a
+presentation importance, the entropy of its child sequences over the host's pages (one style everywhere is 0), and a content
+importance, which falls with the number of pages on which a branch has the same content: 1 - log_m(k) for k of m pages, so
+a branch of one page is 1 and one that every page has is 0. Content is compared for whole branches, so a node's figures
+cover all below it. A branch whose composite importance is low and which enough of the host's pages share is removed from
+each page, the highest such branch first. Pages of a host that are copies of each other count once, so copies of one
+article do not take each other for boilerplate.
+
+Evidence joins the score: a branch whose element, role or class says that it is never main text (menus, page headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) has no importance, and where a page marks its
+article or main part, what stands outside has none. A branch of an article needs more of the host's pages than others.
+
+Scale: pages send 64-bit hashes of paths and branches; of the counts only branches of two pages or more go on. What a host
+keeps is bounded: branches under the threshold stand on m^(1 - LOW) pages or more, so a host has few of them. Pages join their
+host's list; Spark broadcasts it when it is small by size, else merges and splits a hot host. Reading a page takes time
+and memory in proportion to its length, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .byte_bpe import slices
 from .shared import Work, map_batches, read_table
 
-#: Composite importance under which a block goes, the weight of content, and the least share of pages and pages of a host.
+#: Composite importance under which a branch goes, the weight of content, and the least share of pages and pages of a host.
 LOW, GAMMA = 0.2, 0.9
-SHARE, PAGES, SHARE_IN_ARTICLE, PAGES_IN_ARTICLE = 0.5, 5, 0.9, 20
+SHARE, PAGES, SHARE_IN_ARTICLE, PAGES_IN_ARTICLE = 0.5, 5, 0.75, 20
 
 # Fixed values of HTML: elements by what they mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,12 +46,13 @@ MAIN = frozenset(["article", "main"])
 #: An opening element ends an open one of its kind, unless one of the others stands between them.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist")}
 
+#: Bytes of html worked on at once.
+SLICE_BYTES = 2_000_000
 #: Roles, and words of a class or id, of branches that are never main text.
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus "
-    "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion "
-    "recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
+    "footer masthead menu nav navbar navigation notice notices notification pager pagination sidebar sponsor sponsored toolbar".split()
 )
 #: These mark a page's head, but an article's own head is text.
 HEAD_WORDS = frozenset(["header", "banner", "masthead"])
@@ -82,22 +86,32 @@ def _never(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
 
 
 class Page:
-    """A page's blocks in order: (path, parent path, in an article, text); and the child sequences of its nodes."""
+    """A page as a tree of block elements. Node k has ``paths[k]`` (a hash of its names from the root), ``parents[k]``, ``items[k]``
+    (its texts and child nodes in order), ``styles[k]`` (its child names), and says whether it may have main text."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, str]] = []
-        self.styles: dict[str, list[str]] = {}
-        self.has_main = False
-        # open elements: tag, path, never text, in an article or main part
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.paths, self.parents, self.items, self.styles = [0], [-1], [[]], [[]]
+        self.mains, self.has_main = [False], False
+        # open elements: tag, node of the nearest block, never text, in an article or main part, blocks opened up to here
+        stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        opened: dict[str, list[int]] = {}
         text: list[str] = []
 
         def flush() -> None:
-            joined = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
-            text.clear()
-            if joined:
-                _, path, _, main = next(s for s in reversed(stack) if s[0] in BLOCKS or not s[0])
-                self.blocks.append((path, main, joined))
+            if text:
+                joined = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
+                text.clear()
+                if joined:
+                    self.items[stack[-1][1]].append(joined)
+
+        def close(depth: int) -> None:
+            if stack[-1][4] > stack[depth - 1][4]:
+                flush()
+            while len(stack) > depth:
+                opened[stack.pop()[0]].pop()
+
+        def last(tags: str) -> int:
+            return max((opened[t][-1] for t in tags.split() if opened.get(t)), default=0)
 
         at = 0
         for m in _TOKEN.finditer(source):
@@ -111,12 +125,10 @@ class Page:
                 if tag == "br":
                     text.append(" ")
                     continue
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+                depth = last(tag)
                 # an inline end tag doesn't close blocks
-                if depth and (tag in BLOCKS or tag in NEVER_TEXT or not any(s[0] in BLOCKS for s in stack[depth + 1 :])):
-                    if any(s[0] in BLOCKS for s in stack[depth:]):
-                        flush()
-                    del stack[depth:]
+                if depth and (tag in BLOCKS or tag in NEVER_TEXT or stack[-1][4] == stack[depth][4]):
+                    close(depth)
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -125,35 +137,58 @@ class Page:
                     text.append(" ")
                 continue
             kinds, between = ("p", "button table") if tag in CLOSES_P else ENDS.get(tag, ("", ""))
-            if kinds:
-                kinds, between = kinds.split(), between.split()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in kinds:
-                        flush()
-                        del stack[i:]
-                        break
-                    if stack[i][0] in between:
-                        break
-            if tag in BLOCKS:
+            if kinds and (depth := last(kinds)) > last(between):
+                flush()
+                close(depth)
+            block = tag in BLOCKS
+            if block:
                 flush()
             attrs = _attributes(m["attrs"] or m["attrs2"] or "")
-            _, path, never, main = stack[-1]
-            name = tag + "." + attrs["class"] if attrs.get("class") and tag in BLOCKS else tag
+            _, node, never, main, blocks = stack[-1]
             gone = never or _never(tag, attrs, main)
-            if not gone and tag in BLOCKS:
-                style = self.styles.setdefault(path, [])
-                if not style or style[-1] != name:
-                    style.append(name)
             is_main = not gone and (tag in MAIN or attrs.get("role", "").lower() == "main")
             self.has_main |= is_main
-            stack.append((tag, f"{path}/{name}" if tag in BLOCKS else path, gone, main or is_main))
+            if block and not gone:
+                name = tag + "." + attrs["class"] if attrs.get("class") else tag
+                if self.styles[node][-1:] != [name]:
+                    self.styles[node].append(name)
+                self.paths.append(_hash(str(self.paths[node]), name))
+                self.parents.append(node)
+                self.items.append([])
+                self.styles.append([])
+                self.mains.append(main or is_main)
+                self.items[node].append(len(self.paths) - 1)
+                node = len(self.paths) - 1
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, node, gone, main or is_main, blocks + block))
         if not stack[-1][2]:
             text.append(source[at:])
         flush()
 
-    def body(self) -> list[tuple[str, bool, str]]:
-        """The blocks that may be main text."""
-        return [b for b in self.blocks if b[1] or not self.has_main]
+    def branches(self) -> list[int]:
+        """A hash of each node's whole content; 0 where there is no text."""
+        out = [0] * len(self.paths)
+        for k in range(len(self.paths) - 1, -1, -1):
+            parts = [x if isinstance(x, str) else out[x] for x in self.items[k]]
+            if any(parts):
+                out[k] = _hash(str(self.paths[k]), *("t" + x if isinstance(x, str) else str(x) for x in parts)) or 1
+        return out
+
+    def blocks(self, low: set[int]) -> tuple[list[str], int]:
+        """The texts that may be main text in page order, without the branches in ``low``, and how many texts these have."""
+        branches, texts, removed = self.branches() if low else [], [], 0
+        todo: list[tuple[object, int, bool]] = [(0, 0, False)]
+        while todo:
+            x, node, out = todo.pop()
+            if isinstance(x, str):
+                if self.mains[node] or not self.has_main:
+                    removed += out
+                    if not out:
+                        texts.append(x)
+            else:
+                out = out or bool(low and branches[x] in low)
+                todo.extend((y, x, out) for y in reversed(self.items[x]))
+        return texts, removed
 
 
 def _hash(*parts: str) -> int:
@@ -166,25 +201,29 @@ def host_of(url):
 
 
 def style_tree(spark: SparkSession, pages: DataFrame, work: Work) -> DataFrame:
-    """(t_host, low): per host the hashes of (path, text) that are shared and of low importance, in an article or not."""
+    """(t_host, low): per host the hashes of branches that are shared and of low composite importance."""
 
     def run(batches):
-        for batch in slices(batches):
-            out: dict[str, list] = {"host": [], "node": [], "kind": [], "feature": []}
+        for batch in slices(batches, limit=SLICE_BYTES):
+            out: dict[str, list] = {"host": [], "page": [], "node": [], "kind": [], "feature": []}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(source)
+                branches = page.branches()
                 rows = {(0, 2, 0)}
-                for path, main, text in page.body():
-                    rows.add((_hash(path), 1 if main else 0, _hash(path, text)))
-                for path, style in page.styles.items():
-                    rows.add((_hash(path), 3, _hash(*style)))
+                for path, main, branch, style in zip(page.paths, page.mains, branches, page.styles, strict=True):
+                    rows.add((path, 3, _hash(*style)))
+                    if branch:
+                        rows.add((path, 1 if main else 0, branch))
                 for node, kind, feature in rows:
-                    for k, v in zip(out, (host, node, kind, feature), strict=True):
+                    for k, v in zip(out, (host, branches[0], node, kind, feature), strict=True):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["node"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array(out["feature"], pa.int64())], names=list(out))
+            types = {"host": pa.string(), "kind": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
-    found = map_batches(pages.select("host", "html"), "html", run, "host string, node long, kind int, feature long")
-    counts, _ = work.table(found.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 OR kind > 1"), "counts")
+    found = map_batches(pages.select("host", "html"), "html", run, "host string, page long, node long, kind int, feature long")
+    # pages with the same content count once
+    counts = found.groupBy("host", "node", "kind", "feature").agg(F.count_distinct("page").alias("k"))
+    counts, _ = work.table(counts.filter("k > 1 OR kind > 1"), "counts")
     hosts = counts.filter("kind = 2").select(F.col("host").alias("h_host"), F.col("k").alias("m"))
     counts = counts.join(hosts, F.col("host") == F.col("h_host")).filter(F.col("m") >= PAGES)
     log_m = F.log(F.col("m").cast("double"))
@@ -198,7 +237,7 @@ def style_tree(spark: SparkSession, pages: DataFrame, work: Work) -> DataFrame:
 
 
 def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``df``: page_id, url, text, n_chars, n_removed (blocks that the site's tree took out).
+    """One row per row of ``df``: page_id, url, text, n_chars, n_removed (texts of the branches that the site's tree took out).
 
     A null or empty page has the empty text. Pages without a host in their url are one site. Null ids and urls are
     carried; repeated rows count as pages each and get the same text. An empty table gives no rows. Damaged markup
@@ -211,13 +250,12 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
     joined = pages.join(tree, pages.host == tree.t_host, "left").select("page_id", "html", "url", "low")
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             texts, removed = [], []
             for source, low in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                blocks, low = Page(source).body(), set(low or ())
-                kept = [text for path, _, text in blocks if not low or _hash(path, text) not in low]
+                kept, gone = Page(source).blocks(set(low or ()))
                 texts.append("\n".join(kept))
-                removed.append(len(blocks) - len(kept))
+                removed.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_removed"])
 
     return map_batches(joined, "html", run, f"page_id {id_type}, url string, text string, n_chars long, n_removed long")

@@ -406,11 +406,52 @@ def test_pages(spark):
 
 def test_article_alone_is_read():
     page = html_text.Page('<body><p>Outside</p><article class="post"><header><h1>Title</h1></header><p>Text &#233; &lt;b&gt;</p><aside>No</aside><div class="ad">No</div></article><p>After</p>')
-    assert [b[2] for b in page.body()] == ["Title", "Text é <b>"]
+    assert page.blocks(set()) == (["Title", "Text é <b>"], 0)
+    page = html_text.Page('<article><h1>T</h1><p class="related-work">Main para</p><div class="skip">two</div><p>end</p></article>')
+    assert page.blocks(set())[0] == ["T", "Main para", "two", "end"]
     for broken in ("<", "<<<>>>", "</p></div>", "<p", '<a href="x', "<!--", "<script>x", "<p title='>'>ok", "&#xZ; &amp &nosuch;"):
         html_text.Page(broken)
 
 
+def test_the_style_tree_against_plain_python(spark):
+    """The figures of the merged tree by hand: entropy of child sequences, shares of equal branches, low branches removed whole."""
+    import math
+
+    def source(k):
+        tail = "<section><h3>More here</h3><ul><li>first</li><li>second</li></ul></section>" * (k % 10 < 8)
+        return f"<html><body><div class=x><p>own text of page {k}</p>{'<p>twice</p>' * (k % 3 == 0)}</div>{tail}<p>Call us</p></body></html>"
+
+    data = [(k, f"http://h.example/{k}", source(k)) for k in range(30)] + [(100 + k, f"http://h.example/c{k}", source(0)) for k in range(200)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in html_text.extract(spark, df).collect()}
+    pages = {k: html_text.Page(source(k)) for k in range(30)}
+    n_style, n_branch, m = defaultdict(Counter), Counter(), 30
+    for p in pages.values():
+        for path, style in {(a, tuple(b)) for a, b in zip(p.paths, p.styles)}:
+            n_style[path][style] += 1
+        n_branch.update({(a, b) for a, b in zip(p.paths, p.branches()) if b})
+    entropy = {path: -sum(n / sum(c.values()) * math.log(n / sum(c.values()), m) for n in c.values()) for path, c in n_style.items()}
+    low = {b for (path, b), n in n_branch.items() if n >= 0.5 * m and 0.1 * entropy[path] + 0.9 * (1 - math.log(n, m)) < 0.2}
+    assert low and max(entropy.values()) > 0.1
+    for k, p in pages.items():
+        texts, removed = p.blocks(low)
+        assert (got[k].text, got[k].n_removed) == ("\n".join(texts), removed)
+        assert texts == [f"own text of page {k}", *["twice"] * (k % 3 == 0) * 1] and removed == 1 + 3 * (k % 10 < 8)
+    assert all(got[100 + k].text == got[0].text for k in range(200)), "copies of a page do not make its text boilerplate"
+
+
+def test_deep_and_damaged_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for part in ("<div>", "<b>x</i>", "<p>x<div>", "<li><b>y", "<table><tr><td>z"):
+        page = html_text.Page(part * (1_000_000 // len(part)))
+        page.branches()
+        page.blocks({1})
+    assert html_text.Page("a" * 1_000_000).blocks(set()) == (["a" * 1_000_000], 0)
+    assert time.time() - began < 60
+
+
 # ---- lines ----
 
 
