@@ -5,7 +5,7 @@ writer puts its line separator after each value; here that is an empty skippable
 every Zstandard reader steps over. So archives are valid files on any store that Spark writes, and appear only once
 their task has committed.
 
-Writing groups equal payloads by their SHA-1, with a map-side combined minimum, so a payload that a third of all pages
+Writing groups equal payloads by their SHA-256 (the header's SHA-1 has published collisions), with a map-side combined minimum, so a payload that a third of all pages
 share reaches its reducer as one row per map task; only payloads that occur twice are joined back. Reading walks a file
 frame by frame, finds each frame's end from its block headers, decodes it alone and checks the record's version, headers,
 lengths and digests.
@@ -38,14 +38,14 @@ class ArchiveError(ValueError):
     """A damaged archive or record."""
 
 
-def record_id(page_id: int) -> str:
-    """A urn that holds the page id's 64 bits."""
+def record_id(page_id: int, serial: int = 0) -> str:
+    """A urn that holds the page id's 64 bits; a serial number tells records without a page id apart."""
     h = f"{page_id & (1 << 64) - 1:016x}"
-    return f"<urn:uuid:{h[:8]}-{h[8:12]}-8{h[12:15]}-8{h[15]}00-000000000000>"
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-8{h[12:15]}-8{h[15]}00-{serial:012x}>"
 
 
 def page_of(urn: str) -> int:
-    m = re.fullmatch(r"<urn:uuid:([0-9a-f]{8})-([0-9a-f]{4})-8([0-9a-f]{3})-8([0-9a-f])00-0{12}>", urn)
+    m = re.fullmatch(r"<urn:uuid:([0-9a-f]{8})-([0-9a-f]{4})-8([0-9a-f]{3})-8([0-9a-f])00-[0-9a-f]{12}>", urn)
     if not m:
         raise ArchiveError(f"record id {urn!r}")
     n = int("".join(m.groups()), 16)
@@ -56,14 +56,14 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode("ascii")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, serial: int = 0) -> bytes:
     """A whole record; with ``refers_to`` a revisit, whose block has the HTTP headers only."""
     sha = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode("ascii")
     block = http if refers_to is not None else http + payload
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}"]
-    lines += [f"WARC-Record-ID: {record_id(page_id or 0)}", f"WARC-Payload-Digest: sha1:{sha}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+    lines += [f"WARC-Record-ID: {record_id(page_id or 0, serial)}", f"WARC-Payload-Digest: sha1:{sha}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     lines += ["X-Page-Id-Null: true"] * (page_id is None)
     if refers_to is not None:
         lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {PROFILE}"]
@@ -185,8 +185,8 @@ def records(data: memoryview):
 def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Writes one record per row: a response for the smallest id of each payload, revisits for the others.
 
-    A null payload is empty, a null url is ``about:blank``. Rows with a null id are responses. Rows that repeat the
-    smallest id and its payload are responses each. An empty table gives no records. Other columns are ignored.
+    A null payload is empty, a null url is ``about:blank``. Rows with a null id are responses, with record ids of their own.
+    Rows that repeat the smallest id and its payload are responses each, and repeat its record id. An empty table gives no records. Other columns are ignored.
     """
     spark = df.sparkSession
     pages = df.select(
@@ -197,7 +197,7 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     sample = pages.select(F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE_PAGES).collect()
     raw, lead = dictionary_frame([bytes(r.p) for r in sample if len(r.p) >= 8])
     work = Work(spark, "payloads")
-    keyed = pages.withColumn("sha", F.unhex(F.sha1("payload")))
+    keyed = pages.withColumn("sha", F.unhex(F.sha2("payload", 256)))
     twice = keyed.filter((F.length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     twice, _ = work.table(twice.select(F.col("sha").alias("t_sha"), "first"), "twice")
     joined = keyed.join(twice, F.col("sha") == F.col("t_sha"), "left")
@@ -205,12 +205,15 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
 
     def run(batches):
         import zstandard
+        from pyspark import TaskContext
 
+        serial = TaskContext.get().partitionId() << 28
         coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=LEVEL)
         pending, size = [lead], len(lead)
         for batch in batches:
             for page, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pending.append(coder.compress(record(page, url, payload, refers_to)))
+                serial += page is None
+                pending.append(coder.compress(record(page, url, payload, refers_to, 0 if page is not None else serial)))
                 size += len(pending[-1])
                 if size > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(pending)], pa.binary())], names=["frames"])
