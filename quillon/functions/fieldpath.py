@@ -67,7 +67,17 @@ def drop(fields: dict, path: Sequence[str]) -> None:
     fields.pop(path[-1], None)
 
 
-def variant_path(path: Sequence[str]) -> str:
-    """The path of a field within a document's tagged variant: maps stand under the tag m."""
+def variant_at(data, path: Sequence[str]):
+    """The Column of a field within a document's tagged variant: maps stand under the tag m. Variant paths cannot name a segment
+    that has quotes of both kinds; such a segment is looked up in its map."""
+    from pyspark.sql import functions as F
+
     quote = lambda s: '["' + s + '"]' if '"' not in s else "['" + s + "']"
-    return "$" + ".m".join(quote(s) for s in path)
+    steps, under = "", "$"
+    for k, s in enumerate(path):
+        if '"' in s and "'" in s:
+            here = F.try_variant_get(data, under + steps + ".m" * (k > 0 and bool(steps)), "map<string,variant>")
+            data, steps, under = F.try_element_at(here, F.lit(s)), "", "$.m"
+        else:
+            steps += ".m" * bool(steps) + quote(s)
+    return F.try_variant_get(data, under + steps, "variant") if steps else data

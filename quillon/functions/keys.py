@@ -82,25 +82,44 @@ def literal_key(v) -> Column:
     return _key(place, b=F.lit(bytearray(V.sort_key(v))))
 
 
+def untagged(x):
+    """The value of a tagged form in which a value without a tag is null."""
+    if not x:
+        return None
+    if "a" in x:
+        return [untagged(e) for e in x["a"]]
+    if "m" in x:
+        return {k: untagged(e) for k, e in x["m"].items()}
+    return V.decode(x)
+
+
 @F.pandas_udf(T.BinaryType())
 def nested_bytes(tagged_json):  # type: ignore[no-untyped-def]
     """Key bytes of nested values from their tagged JSON; null for null."""
-    return tagged_json.map(lambda s: None if s is None else V.sort_key(V.decode(json.loads(s))))
-
-
-def tagged(col: Column, kind: str) -> Column:
-    """A native column as a tagged struct or variant, for nested keys."""
-    if kind.startswith("array<"):
-        inner = kind[6:-1]
-        return F.struct(F.transform(col, lambda e: tagged(e, inner)).alias("a"))
-    tag = {"string": "s", "boolean": "b"}.get(kind)
-    if tag:
-        return F.struct(col.alias(tag))
-    if kind in ("tinyint", "smallint", "int", "bigint"):
+    return tagged_json.map(lambda s: None if s is None else V.sort_key(untagged(json.loads(s))))
+
+
+def tagged(col: Column, kind: str | T.DataType) -> Column:
+    """A native column as a tagged struct, for nested keys; JSON leaves the tag of a null away."""
+    kind = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    if isinstance(kind, T.ArrayType):
+        return F.struct(F.transform(col, lambda e: tagged(e, kind.elementType)).alias("a"))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        return F.struct(F.transform_values(col, lambda _, e: tagged(e, kind.valueType)).alias("m"))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[tagged(col.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.struct(F.when(col.isNotNull(), inner).alias("m"))
+    if isinstance(kind, T.StringType):
+        return F.struct(col.alias("s"))
+    if isinstance(kind, T.BooleanType):
+        return F.struct(col.alias("b"))
+    if isinstance(kind, T.BinaryType):
+        return F.struct(F.base64(col).alias("y"))
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.struct(col.cast("string").alias("i"))
-    if kind in ("float", "double"):
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
         return F.struct(col.cast("double").cast("string").alias("d"))
-    raise V.BadValue(f"no nested form of {kind}")
+    raise V.BadValue(f"no nested form of {kind.simpleString()}")
 
 
 # ---- dynamic values: tagged variants ----

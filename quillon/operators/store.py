@@ -129,12 +129,13 @@ class Store:
             seq = m.get("seq", 0)
             kinds = folded.filter("changed").select(F.col("name").alias("doc_name"), F.element_at(names, -2).alias("collection_id"), F.when(F.col("data").isNull(), "delete").otherwise("write").alias("kind"))
             ranked = kinds.orderBy("doc_name").rdd.zipWithIndex().map(lambda x: (x[1] + seq, version, *x[0])).toDF("seq long, xid long, doc_name string, collection_id string, kind string")
-            ranked.withColumn("at", F.timestamp_micros(F.lit(now.micros))).write.parquet(f"{folder}/changes")
+            ranked.withColumn("at", F.timestamp_micros(F.lit(now.micros))).write.parquet(f"{folder}/log")
             collections = {c: p for c, p in m["collections"].items() if c not in touched} | written
             empty = [c for c, p in written.items() if self.spark.read.schema(DYNAMIC_SCHEMA).parquet(p).isEmpty()]
             collections = {c: p for c, p in collections.items() if c not in empty}
-            n_changes = self.spark.read.parquet(f"{folder}/changes").count()
-            self._write_json("CURRENT", {"version": version, "collections": collections, "changes": [*m["changes"], *[f"{folder}/changes"] * bool(n_changes)], "seq": seq + n_changes})
+            n_changes = self.spark.read.parquet(f"{folder}/log").count()
+            self._write_json("CURRENT", {"version": version, "collections": collections, "pruned": m.get("pruned", 0), "changes": [*m["changes"], *[f"{folder}/log"] * bool(n_changes)], "seq": seq + n_changes})
+            self.publish_changes()
             if n_results is None:
                 return None, now
             results: dict[str, list] = {}
@@ -164,6 +165,21 @@ class Store:
             self.commit_table(names.select(F.lit(0).cast("long").alias("seq"), "name", text.alias("write")))
         return n
 
+    def publish_changes(self) -> int:
+        """Shows the logs of visible commits to streams, by a copy that appears with one rename; a run that was cut off is made
+        up for by the next. Returns how many were shown. A stream never sees a commit before its state can be read."""
+        shown = 0
+        with self._lock:
+            for log in self.manifest()["changes"]:
+                folder, _, kind = log.rpartition("/")
+                fs, to = self._fs(f"{folder}/changes")
+                if kind != "log" or fs.exists(to):
+                    continue
+                tmp = f"{folder}/showing-{uuid.uuid4().hex}"
+                self.spark.read.schema(CHANGES_SCHEMA).parquet(log).coalesce(1).write.parquet(tmp)
+                shown += fs.rename(self._fs(tmp)[1], to)
+        return shown
+
     def prune_changes(self, before_micros: int) -> int:
         """Forgets changes older than a time. Returns how many."""
         with self._lock:
@@ -174,7 +190,8 @@ class Store:
             if gone:
                 path = f"{self.root}/changes-{uuid.uuid4().hex}"
                 keep.write.parquet(path)
-                self._write_json("CURRENT", m | {"changes": [path]})
+                last = old.filter(F.unix_micros("at") < before_micros).agg(F.max("xid")).first()[0]
+                self._write_json("CURRENT", m | {"changes": [path], "pruned": max(last, m.get("pruned", 0))})
             return gone
 
     # -- transactions --

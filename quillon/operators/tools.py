@@ -66,18 +66,28 @@ def verify(source: DataFrame, copy: DataFrame, on: str, columns: Iterable[str])
     return source.join(other, source[on] == other["_on"], "left").agg(F.count(F.lit(1)).alias("source"), count(there)("checked"), count(~there)("missing"), count(there & ~same)("mismatch"))
 
 
-def every_nth(df: DataFrame, on: str, n: int) -> DataFrame:
-    """Every n-th row by id, for a sampled check. Ranks are numbered within ranges and joined by range offsets."""
+def every_nth(df: DataFrame, on: str, n: int, ranges: int | None = None) -> DataFrame:
+    """Every n-th row by id, for a sampled check. Ranks are numbered within ranges of ids and joined by range offsets.
+
+    The ranges' bounds are ids of a bounded sample, picked by hash, and go into the plan as values, so that sizes and ranks
+    agree however often they are computed. Null ids count first and are never picked.
+    """
     if n <= 1:
         return df
-    ranged = df.select(on).repartitionByRange(on).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(on)))
-    sizes = sorted((r._p, r.n) for r in local.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = sorted(r[0] for r in df.select(on).filter(F.col(on).isNotNull()).orderBy(F.xxhash64(on), on).limit(20 * ranges).collect())
+    bounds = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
+    kind = df.schema[on].dataType
+    over = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(on))) if bounds else F.lit(0)
+    ranged = df.select(on).withColumn("_p", F.when(F.col(on).isNull(), 0).otherwise(over).cast("int"))
+    sizes = sorted((r._p, r.n) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
     before, offsets = 0, []
     for p, k in sizes:
         offsets.append((p, before))
         before += k
-    base = df.sparkSession.createDataFrame(offsets, "_p int, _o long")
+    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(on)))
+    base = spark.createDataFrame(offsets, "_p int, _o long")
     picked = local.join(F.broadcast(base), "_p").filter((F.col("_i") + F.col("_o") - 1) % n == 0).select(on)
     return df.join(picked, on, "left_semi")
 

@@ -16,7 +16,7 @@ import operator
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillon.functions import keys as K, values as V
-from quillon.functions.fieldpath import NAME, FieldPathError, parse, render, variant_path
+from quillon.functions.fieldpath import NAME, FieldPathError, parse, render, variant_at
 from quillon.sources.collections import Dynamic, Typed
 
 from . import model as M
@@ -203,7 +203,7 @@ class MissingField:
 def _nested_contains(array_json, members_json):  # type: ignore[no-untyped-def]
     def test(a, m):
         wanted = [V.sort_key(V.decode(x)) for x in json.loads(m)]
-        return a is not None and any(V.sort_key(V.decode(e)) in wanted for e in json.loads(a)["a"])
+        return a is not None and any(V.sort_key(K.untagged(e)) in wanted for e in json.loads(a)["a"])
 
     import pandas as pd
 
@@ -214,7 +214,7 @@ class DynamicField:
     """A path of a tagged variant."""
 
     def __init__(self, data: Column, path: str):
-        self.value = F.try_variant_get(data, variant_path(parse(path)), "variant")
+        self.value = variant_at(data, parse(path))
         self.place = K.dynamic_bucket(self.value)
 
     @property

@@ -21,15 +21,16 @@ def read_changes(changes: DataFrame, after: tuple[int, int] = (0, -1), collectio
 
 
 def stream_changes(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """The log below a store's root as a stream: each commit's file once, resumed from the query's checkpoint."""
+    """The log below a store's root as a stream: each visible commit's file once, resumed from the query's checkpoint."""
     return spark.readStream.schema(CHANGES_SCHEMA).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
 def follow(store: Store, checkpoint: str, apply: Callable[[DataFrame, int], None], collection_id: str | None = None) -> None:
     """Calls ``apply`` with the current state (data null once deleted) of each document that changed, a batch at a time.
 
-    State is read again by name, so repeated or late events do no harm.
+    State is read again by name, so repeated or late events do no harm. A commit's events come after it has become visible.
     """
+    store.publish_changes()
     changes = stream_changes(store.spark, f"{store.root}/v*/changes")
     if collection_id is not None:
         changes = changes.filter(F.col("collection_id") == collection_id)

@@ -5,11 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import values as V
+from quillon.functions import fieldpath, values as V
 from quillon.operators import engine as E, indexes as I, tools as X, writes as W
 from quillon.operators.store import Store
 from quillon.plans import model as M
-from quillon.sources.collections import DATABASE, Dynamic, dynamic_documents
+from quillon.sources.collections import DATABASE, Dynamic, Typed, dynamic_documents
 from quillon.streaming.changes import follow, read_changes
 
 NOW = V.Timestamp(1_700_000_000_000_000)
@@ -132,10 +132,77 @@ def test_index_catalog(spark, tmp_path):
     assert catalog.backfill(index, 2) == 8 and ask() == ([name(i) for i in (1, 3, 5, 7)], before + 1)
     store.commit([W.Write(name(2), fields={"a": 1, "s": 2}), W.Write(name(3), "delete"), W.Write(name(9), fields={"a": 1})])
     assert ask() == ([name(i) for i in (1, 2, 5, 7)], before + 1), "an overtaken index is passed over"
-    assert catalog.maintain(index, 1) == 7 and ask() == ([name(i) for i in (1, 2, 5, 7)], before + 2)
+    assert catalog.maintain(index) == 7 and ask() == ([name(i) for i in (1, 2, 5, 7)], before + 2)
     assert catalog.drop(index) and not catalog.drop(index) and catalog.list() == []
 
 
+def test_an_index_with_a_gap_is_never_ready(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db")
+    store.commit([W.Write(name(i), fields={"a": 1, "s": i}) for i in range(3)])
+    catalog, index = I.IndexCatalog(store), I.parse_spec("c|a asc|s asc")
+    catalog.register([index])
+    assert catalog.maintain(index) == 3, "without entries all are made"
+    q = M.Query(DATABASE, "c", where=M.Field("a", M.EQ, 1), order_by=(M.Order("s"),), select=())
+    store.commit([W.Write(name(5), fields={"a": 1, "s": 5})])
+    store.commit([W.Write(name(6), fields={"a": 1, "s": 6})])
+    assert catalog.maintain(index) == 5 and [r.name for r in catalog.run(q).collect()] == [name(i) for i in (0, 1, 2, 5, 6)]
+    store.commit([W.Write(name(7), fields={"a": 1, "s": 7})])
+    store.prune_changes(1 << 60)
+    store.commit([W.Write(name(0), "delete")])
+    assert catalog.maintain(index) == 5 and [r.name for r in catalog.run(q).collect()] == [name(i) for i in (1, 2, 5, 6, 7)]
+    assert index in catalog.ready()
+
+
+def test_a_stream_between_the_log_and_the_commit_loses_nothing(spark, tmp_path):
+    store, seen = Store(spark, f"file://{tmp_path}/db"), {}
+
+    def look():
+        follow(store, f"{tmp_path}/cp", lambda df, n: seen.update((r.name, V.loads(r.data)["s"]) for r in df.select("name", "data").collect()))
+
+    store.commit([W.Write(name(1), fields={"s": 1})])
+    look()
+    swap = store._write_json
+    store._write_json = lambda *a: (look(), swap(*a))
+    store.commit([W.Write(name(1), fields={"s": 2})])
+    store._write_json = swap
+    assert seen == {name(1): 1}
+    look()
+    assert seen == {name(1): 2}
+    # a commit that ends before its log is shown
+    store.publish_changes, publish = lambda: 0, store.publish_changes
+    store.commit([W.Write(name(1), fields={"s": 3})])
+    store.publish_changes = publish
+    look()
+    assert seen == {name(1): 3}
+
+
+def test_every_nth_of_many_rows(spark):
+    df = spark.range(0, 3_000_000, 1, 24).select((F.col("id") * 7919 % 3_000_017).alias("id"))
+    ids = sorted(k * 7919 % 3_000_017 for k in range(3_000_000))
+    assert sorted(r.id for r in X.every_nth(df, "id", 1000).collect()) == ids[::1000]
+    odd = spark.createDataFrame([(None,), ("b",), ("a",), ("c",), ("b",)], "id string")
+    assert sorted(r.id for r in X.every_nth(odd, "id", 2).collect()) == ["b", "b", "c"]
+    assert X.every_nth(odd.filter("false"), "id", 3).count() == 0
+
+
+def test_nested_columns_with_nulls_and_structs(spark):
+    rows = [(1, [1, None], (1, "x")), (2, [1, 2], (1, None)), (3, None, None), (4, [], (None, "y")), (5, [None], (1, "x"))]
+    source = Typed(spark.createDataFrame(rows, "id int, a array<int>, s struct<n:int,t:string>"), "c", F.col("id"))
+    ids = lambda **q: [int(r.name.rpartition("/")[2]) for r in E.run_query(source, M.Query(DATABASE, "c", select=(), **q)).collect()]
+    assert ids(order_by=(M.Order("a"),)) == [4, 5, 1, 2] and ids(where=M.Field("a", M.EQ, [1, None])) == [1]
+    assert ids(where=M.Field("a", M.CONTAINS, 1)) == [1, 2]
+    assert ids(where=M.Field("s", M.EQ, {"n": 1, "t": "x"})) == [1, 5] and ids(where=M.Field("s", M.EQ, {"n": 1, "t": None})) == [2]
+    assert set(ids(order_by=(M.Order("s"),))) == {1, 2, 4, 5}
+
+
+def test_a_path_with_both_quotes(spark):
+    odd = """a"b'c"""
+    df = dynamic_documents(spark, {name(1): {odd: 1}, name(2): {odd: {"x": 1}}, name(3): {"m": {odd: {odd: 1}}}})
+    for path, want in (((odd,), [1]), ((odd, "x"), [2]), (("m", odd, odd), [3])):
+        q = M.Query(DATABASE, "c", where=M.Field(fieldpath.render(path), M.EQ, 1), select=())
+        assert [r.name for r in E.run_query(Dynamic(df, "c"), q).collect()] == [name(i) for i in want]
+
+
 def test_tools(spark):
     a = dynamic_documents(spark, {name(1): {"n": 1}, name(2): {"x": math.nan, "z": -0.0}, name(3): {"t": "é"}})
     b = dynamic_documents(spark, {name(1): {"n": 1.0}, name(2): {"z": 0.0, "x": math.nan}})
