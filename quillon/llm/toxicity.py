@@ -41,7 +41,7 @@ KEPT_WORDS, PREFIXES, WHOLE = 100_000, (3, 4, 5, 6, 7, 8), 32
 #: Characters of a run of pieces that is read at once; letters of a beginning that counts where spaces were dropped.
 RUN, PARTED = 32, 5
 #: Bytes of text worked on at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 
 # Characters that stand for letters.
 LOOKALIKES = {
@@ -326,7 +326,7 @@ class Words:
         self.of_piece: dict[str, tuple] = {}
         self.of_run: dict[tuple, tuple] = {}
         if known is not None:
-            self.start = Gate(sorted({f.rstrip("$")[: PREFIXES[0]] for f in known}))
+            self.start = Gate(sorted({f.rstrip("$")[:PARTED] for f in known}))
             # what spaces may part: whole words, and beginnings of PARTED letters
             self.parts = Gate(sorted({f.rstrip("$")[:PARTED] for f, i in known.items() if i < ACROSS and (f.endswith("$") or len(f) >= PARTED)}))
 
