@@ -8,7 +8,8 @@ logistic model over the beginnings of the restored words then scores the text.
 Which lattices are built: in training one for each distinct piece with a sign of the channel; in scoring only where some
 reading can begin as a feature does, told by rough outlines (marks dropped, look-alikes read, repeats as one), since no other
 reading can count. A word parted by spaces is looked for where a piece can be the beginning of a longer feature and the pieces after it can
-go on with it; the lattice over the next ``RUN`` characters then says whether the spaces are dropped or part words.
+go on with it; the lattice over the text from there on then says whether the spaces are dropped or part words. It takes as many
+pieces as it needs, to the text's end if need be: until all surviving paths agree on the first word.
 
 Corpus statistics: trigram counts of every clean word (letters only) of every text, over a fixed alphabet of 64 classes, so the
 model has a fixed size while what is counted grows with the input. The classifier is fitted on ``TRAIN_ROWS`` labelled rows at
@@ -29,17 +30,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .byte_bpe import slices
 from .shared import map_batches, read_table, whole
 
-#: Labelled rows to fit on, features of the classifier at most, documents of label 1 and log-likelihood ratio a feature needs,
-#: and features, the strongest ones, that are looked for across spaces.
-TRAIN_ROWS, FEATURES, MIN_DOCS, MIN_RATIO, ACROSS = 20_000, 600, 4, 16.0, 200
+#: Labelled rows to fit on, features of the classifier at most, documents of label 1 and log-likelihood ratio a feature needs.
+TRAIN_ROWS, FEATURES, MIN_DOCS, MIN_RATIO = 20_000, 600, 4, 16.0
 #: Rows of this remainder of crc32(id) mod 4 never give labels.
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Readings that a worker keeps between batches; beginnings of words that are features, by length, and letters of a word
 #: that is a feature as a whole, at most.
 KEPT_WORDS, PREFIXES, WHOLE = 100_000, (3, 4, 5, 6, 7, 8), 32
-#: Characters of a run of pieces that is read at once; letters of a beginning that counts where spaces were dropped.
-RUN, PARTED = 32, 5
+#: Pieces that a run is first read with, more as needed, and characters of a run whose reading is kept; letters of a beginning
+#: that counts where spaces were dropped.
+RUN, KEPT_RUN, PARTED = 3, 256, 5
 #: Bytes of text worked on at once.
 SLICE_BYTES = 4_000_000
 
@@ -97,62 +98,85 @@ class CharacterModel:
         two = n.sum(0)
         two = (two + 20 * one) / (two.sum(1, keepdims=True) + 20)
         three = (n + 20 * two) / (n.sum(2, keepdims=True) + 20)
-        self.cost = (-np.log(three)).astype(np.float32).ravel().tolist()
+        c = (-np.log(three)).astype(np.float32)
+        self.cost = c.ravel().tolist()
+        # what two letters may cost more after a word's edge than after other letters; from the third on they cost the same
+        self.apart = (c[0, 0] - c + (c[0] - c).max(2))[:, :, 1:].max().item() + 1e-3
 
-    def decode(self, seen: str, more: bool = False) -> tuple[float, str]:
-        """The cost and the text of the likeliest reading: the best path through the lattice of ``seen``.
+    def _paths(self, low: str, end: int, number: int, first: bool = False) -> dict[int, tuple]:
+        """The best paths through the lattice of the first ``end`` characters, by their last two classes: cost, text, and the
+        first word with the spaces it took in once a space has ended it. ``first``: until all agree on the first word.
 
         Each character is read as itself or as a letter it looks like; a mark may be dropped; a character like the one
-        before may be taken as the same letter; a space parts words or is dropped. A number at the end may be dropped as one
-        mark. With ``more`` the last word may go on after the end.
+        before may be taken as the same letter; a space parts words or is dropped. A number at the end, from ``number`` on,
+        may be dropped as one mark.
         """
-        low, cost = _reduced(seen), self.cost
-        number = _NUMBER.search(low)
-        number = number.start() if number else -1
-        # states: class before last * CLASSES + last class -> (cost, text so far as a linked list)
-        states: dict[int, tuple] = {0: (0.0, None)}
-        before, cut = "", {}
-        for i, x in enumerate(low):
-            new: dict[int, tuple] = {}
+        cost = self.cost
+        # states: class before last * CLASSES + last class -> (cost, text so far as a linked list, first word)
+        states: dict[int, tuple] = {0: (0.0, None, None)}
+        before, cut, spaces = "", {}, 0
+        for i in range(end):
+            x, new = low[i], {}
             if i == number:
-                cut = {s: (v + DROP, t) for s, (v, t) in states.items()}
+                cut = {s: (v + DROP, t, w) for s, (v, t, w) in states.items()}
             if x == " ":
                 single = low[i - 2 : i - 1] in ("", " ") and low[i + 2 : i + 3] in ("", " ")
                 join, part = (JOIN_SINGLE, PART_SINGLE) if single else (JOIN, 0.0)
-                for s, (v, t) in states.items():
-                    if not s:
-                        value = v, t
+                for s, (v, t, w) in states.items():
+                    if not s:  # a piece dropped as a whole begins no word
+                        value = v, t, w or (t, spaces)
                     else:
-                        value = v + cost[s * CLASSES] + part, (t, " ")
+                        value = v + cost[s * CLASSES] + part, (t, " "), w or (t, spaces)
                         if s not in new or v + join < new[s][0]:
-                            new[s] = v + join, t
+                            new[s] = v + join, t, w
                     if 0 not in new or value[0] < new[0][0]:
                         new[0] = value
+                if first:  # paths that the one with this space parting words beats, whatever follows
+                    new = {s: p for s, p in new.items() if p[0] <= new[0][0] + self.apart}
+                spaces += 1
             else:
                 reads = _READS.get(x) or _reads(x)
                 same = x == before
                 # a run of equal marks is dropped as one
                 drop = None if x.isalnum() else 0.0 if same else DROP
-                for s, (v, t) in states.items():
+                for s, (v, t, w) in states.items():
                     b, base = s % CLASSES, s * CLASSES
                     for y, c, price in reads:
                         value, to = v + price + cost[base + c], b * CLASSES + c
                         if to not in new or value < new[to][0]:
-                            new[to] = value, (t, y)
+                            new[to] = value, (t, y), w
                         if same and c == b and (s not in new or v + REPEAT < new[s][0]):
-                            new[s] = v + (REPEAT if low[i - 2 : i - 1] != x else 0.0), t
+                            new[s] = v + (REPEAT if low[i - 2 : i - 1] != x else 0.0), t, w
                     if drop is not None and (s not in new or v + drop < new[s][0]):
-                        new[s] = v + drop, t
+                        new[s] = v + drop, t, w
             states, before = new, x
+            if first and spaces and not cut:
+                w = next(iter(states.values()))[2]
+                if w and all(p[2] is w for p in states.values()):
+                    return states
         for s, found in cut.items():
             if s not in states or found[0] < states[s][0]:
                 states[s] = found
-        value, text = min(((v if more or not s else v + cost[s * CLASSES], t) for s, (v, t) in states.items()), key=lambda p: p[0])
-        out = []
-        while text:
-            text, y = text
-            out.append(y)
-        return value, "".join(reversed(out))
+        return states
+
+    def _best(self, states: dict[int, tuple], more: bool) -> tuple:
+        return min(((v if more or not s else v + self.cost[s * CLASSES], t, w) for s, (v, t, w) in states.items()), key=lambda p: p[0])
+
+    def decode(self, seen: str, more: bool = False) -> tuple[float, str]:
+        """The cost and the text of the likeliest reading: the best path through the lattice of ``seen``. With ``more`` the
+        last word may go on after the end."""
+        low = _reduced(seen)
+        value, text, _ = self._best(self._paths(low, len(low), _number(low)), more)
+        return value, _spelled(text)
+
+    def first_words(self, low: str, more: bool) -> list[tuple[str, int, bool]]:
+        """What the first word of the likeliest reading may be: its text, the spaces it took in, whether it has ended. With
+        ``more``, other pieces follow the space at the end of ``low``, and each surviving path may turn out the likeliest."""
+        end = len(low) - more
+        states = self._paths(low, end, -1 if more else _number(low), True)
+        paths = states.values() if more else [self._best(states, False)]
+        words = {id(w or t): (w or (t, low.count(" ", 0, end)), w is not None or not more) for _, t, w in paths}
+        return [(_spelled(t), n, ended) for (t, n), ended in words.values()]
 
     def restore(self, seen: str, more: bool = False) -> str:
         return self.decode(seen, more)[1]
@@ -169,6 +193,19 @@ def _reads(x: str) -> list[tuple[str, int, float]]:
     return _READS[x]
 
 
+def _spelled(text: tuple | None) -> str:
+    out = []
+    while text:
+        text, y = text
+        out.append(y)
+    return "".join(reversed(out))
+
+
+def _number(low: str) -> int:
+    number = _NUMBER.search(low)
+    return number.start() if number else -1
+
+
 def _reduced(seen: str) -> str:
     """Lower case, with single spaces and runs of equal characters no longer than ``ALIKE``."""
     low = seen.lower()
@@ -197,11 +234,16 @@ class Restorer:
             word = self.model.restore(word)
         return _EDGES.sub("", word).lower()
 
-    def parted(self, pieces: list[str], more: bool) -> tuple[str, int]:
-        """The first word of pieces with spaces between them, and how many spaces it took in."""
-        run = " ".join(pieces)
-        words = self.model.restore(run if more else _TRAIL.sub("", run), more).split(" ")
-        return _EDGES.sub("", words[0]).lower(), len(pieces) - len(words)
+    def parted(self, pieces: list[str], more: bool) -> tuple[str, int] | None:
+        """The first word of pieces with spaces between them, and how many spaces it took in. With ``more``, others follow;
+        None where these decide. A word over ``WHOLE`` letters may come without its end, which is no part of a feature."""
+        if not more:
+            pieces = _TRAIL.sub("", " ".join(pieces)).split(" ")
+        low = " ".join(map(_reduced, pieces)) + " " * more
+        words = [(_EDGES.sub("", word).lower(), n, ended) for word, n, ended in self.model.first_words(low, more)]
+        if any(not ended and len(word) <= WHOLE for word, _, ended in words) or len({(*features_of(word), n > 0) for word, n, _ in words}) > 1:
+            return None
+        return words[0][:2]
 
 
 def features_of(word: str) -> list[str]:
@@ -232,8 +274,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Outlines:
-    """Rough readings of strings: marks dropped, look-alikes read, repeats taken as one. ``keys[k]`` tells the first k + 1
-    letters; ``odd`` strings have more than one such reading among their first letters."""
+    """Rough readings of strings: marks dropped, look-alikes read, repeats taken as one. String i's are ``size[i]`` letters in
+    ``fold`` from ``start[i]`` on; from the ``odd[i]``-th on it has more than one such reading."""
 
     def __init__(self, strings: pa.Array):
         low = pc.utf8_lower(strings)
@@ -254,26 +296,33 @@ class Outlines:
         keep = fold > 0
         fold, owner, either = fold[keep], owner[keep], either[keep]
         again = np.append(False, (fold[1:] == fold[:-1]) & (owner[1:] == owner[:-1])) if len(fold) else np.zeros(0, bool)
-        odd, fold, owner = np.unique(owner[either & again]), fold[~again], owner[~again]
-        either = either[~again]
+        odd, self.fold, owner = np.unique(owner[either & again]), fold[~again], owner[~again]
         self.size = np.bincount(owner, minlength=m)
-        rank = np.arange(len(owner), dtype=np.int32) - (np.cumsum(self.size) - self.size).astype(np.int32)[owner]
-        first = rank < PARTED
-        self.odd = np.zeros(m, bool)
-        self.odd[odd] = True
-        self.odd[owner[either & first]] = True
-        cells = np.zeros((m, PARTED), np.uint64)
-        cells[owner[first], rank[first]] = fold[first]
-        self.keys, key = [], np.zeros(m, np.uint64)
-        for k in range(PARTED):
-            key = (key + cells[:, k]) * _MIX
+        self.start = np.cumsum(self.size) - self.size
+        self.odd = np.full(m, np.iinfo(np.int64).max)
+        at = np.flatnonzero(either[~again])
+        of, first = np.unique(owner[at], return_index=True)
+        self.odd[of] = at[first] - self.start[of]
+        self.odd[odd] = 0
+
+    def keys(self, depth: int, among=None):
+        """For k from 0 to ``depth``: the strings of more than k letters and keys that tell their first k + 1. ``among(k, keys)``:
+        those that go on after k."""
+        at, key = np.arange(len(self.size)), np.zeros(len(self.size), np.uint64)
+        for k in range(depth):
+            longer = self.size[at] > k
+            at = at[longer]
+            key = (key[longer] + self.fold[self.start[at] + k]) * _MIX
             key ^= key >> np.uint64(29)
-            self.keys.append(key)
+            if among:
+                on = among(k, key)
+                at, key = at[on], key[on]
+            yield k, at, key
 
 
 class Gate:
-    """Tells strings of which some reading begins with one of the targets (at most PARTED letters each), or is a part of one.
-    It may let others through."""
+    """Tells strings of which some reading begins with one of the targets, or is a part of one that goes on after it. It may
+    let others through."""
 
     def __init__(self, targets: list[str]):
         self.trie: dict = {}
@@ -282,40 +331,44 @@ class Gate:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = {}
-        outlines = Outlines(pa.array(targets, pa.string()))
-        self.whole = [np.unique(outlines.keys[k][outlines.size == k + 1]) for k in range(PARTED)]
-        self.part = [np.unique(outlines.keys[k][outlines.size > k]) for k in range(PARTED)]
-
-    def _walk(self, seen: str) -> tuple[bool, bool]:
-        """For an odd string: whether a reading begins with a target, whether one is a part of a target."""
-        low = _reduced(seen)
-        nodes, before = [self.trie], ""
-        for x in low:
+        wholes, parts = Outlines(pa.array(targets, pa.string())), Outlines(pa.array(sorted({t[:k] for t in targets for k in range(1, len(t))}), pa.string()))
+        self.depth = int(wholes.size.max(initial=0))
+        self.whole = [np.unique(key[wholes.size[at] == k + 1]) for k, at, key in wholes.keys(self.depth)]
+        self.part = [np.unique(key[parts.size[at] == k + 1]) for k, at, key in parts.keys(self.depth)]
+        self.begun = [np.unique(key) for _, _, key in wholes.keys(self.depth)]
+
+    def walk(self, nodes: list[dict], seen: str) -> tuple[list[dict], bool]:
+        """The nodes of the trie that readings of a piece may lead to, and whether one of them comes by the end of a target."""
+        before, reached = "", False
+        for x in _reduced(seen):
             new = {}
             for node in nodes:
                 if not x.isalnum() or x == before or (node is self.trie and not x.isalpha()):
                     new[id(node)] = node
                 for y in (x, *LOOKALIKES.get(x, "")):
-                    if y in node and y:
-                        if "" in node[y]:
-                            return True, True
+                    if y in node:
                         new[id(node[y])] = node[y]
+                        reached = reached or "" in node[y]
             nodes, before = list(new.values()), x
             if not nodes:
-                return False, False
-        return False, any(node is not self.trie for node in nodes)
+                break
+        return nodes, reached
+
+    def inside(self, nodes: list[dict]) -> list[dict]:
+        """Those of the nodes at which a target has begun and goes on."""
+        return [node for node in nodes if node is not self.trie and len(node) > ("" in node)]
 
     def test(self, o: Outlines) -> tuple[np.ndarray, np.ndarray]:
-        """(reached, alive): whether some reading begins with a target; whether it does or is a part of one."""
-        reached, alive = np.zeros(len(o.size), bool), np.zeros(len(o.size), bool)
-        for k in range(PARTED):
-            reached |= (o.size > k) & np.isin(o.keys[k], self.whole[k])
-            alive |= (o.size == k + 1) & np.isin(o.keys[k], self.part[k])
-        alive |= reached
-        odd = np.flatnonzero(o.odd)
+        """(reached, part): whether some reading begins with a target; whether one is a part of a longer target."""
+        reached, part = np.zeros(len(o.size), bool), np.zeros(len(o.size), bool)
+        for k, at, key in o.keys(self.depth, lambda k, key: np.isin(key, self.begun[k])):
+            reached[at[np.isin(key, self.whole[k])]] = True
+            part[at[(o.size[at] == k + 1) & np.isin(key, self.part[k])]] = True
+        odd = np.flatnonzero(o.odd < self.depth)
         for i, seen in zip(odd.tolist(), o.strings.take(pa.array(odd)).to_pylist(), strict=True):
-            reached[i], alive[i] = self._walk(seen)
-        return reached, alive
+            nodes, reached[i] = self.walk([self.trie], seen)
+            part[i] = bool(self.inside(nodes))
+        return reached, part
 
 
 class Words:
@@ -328,7 +381,7 @@ class Words:
         if known is not None:
             self.start = Gate(sorted({f.rstrip("$")[:PARTED] for f in known}))
             # what spaces may part: whole words, and beginnings of PARTED letters
-            self.parts = Gate(sorted({f.rstrip("$")[:PARTED] for f, i in known.items() if i < ACROSS and (f.endswith("$") or len(f) >= PARTED)}))
+            self.parts = Gate(sorted({f.rstrip("$") for f in known if f.endswith("$") or len(f) >= PARTED}))
 
     def _kept(self, of: dict, key, make) -> tuple:
         if key not in of:
@@ -343,12 +396,15 @@ class Words:
     def _known(self, features: list[str]) -> tuple:
         return tuple(features) if self.known is None else tuple(self.known[f] for f in features if f in self.known)
 
-    def _run(self, key: tuple) -> tuple:
-        """The features of the word that a run of pieces starts with, where it took in the space after the first."""
+    def _run(self, key: tuple) -> tuple | None:
+        """The features of the word that a run of pieces starts with, where it took in the space after the first; None where
+        the pieces after the run decide."""
         *pieces, more = key
-        word, spaces = self.restorer.parted(pieces, more)
+        found = self.restorer.parted(pieces, more)
+        if not found or not found[1]:
+            return found and ()
         first = len(self.restorer.word(pieces[0]))
-        return self._known([f for f in features_of(word) if f.endswith("$") or len(f) >= PARTED and len(f) > first]) if spaces > 0 else ()
+        return self._known([f for f in features_of(found[0]) if f.endswith("$") or len(f) >= max(PARTED, first)])
 
     def texts(self, texts: pa.Array) -> list[set]:
         """The features of each text."""
@@ -374,12 +430,12 @@ class Words:
         for o, c in zip((pairs // len(unique)).tolist(), (pairs % len(unique)).tolist(), strict=True):
             out[o].update(values[c])
         if self.known is not None:
-            reached, alive = self.parts.test(outlines)
-            self._parted(unique, codes, offsets, alive & ~reached, out)
+            self._parted(unique, codes, offsets, self.parts.test(outlines)[1], out)
         return out
 
     def _parted(self, unique: pa.Array, codes: np.ndarray, offsets: np.ndarray, head: np.ndarray, out: list[set]) -> None:
         """Adds the features of words that spaces part; ``head``: which pieces may begin one and be less than it."""
+        codes, offsets = _fewer_marks(unique, codes, offsets)
         full = pc.greater(pc.binary_length(unique), 0).to_numpy(zero_copy_only=False)
         last = np.zeros(len(codes), bool)
         last[offsets[1:][offsets[1:] > 0] - 1] = True
@@ -389,17 +445,54 @@ class Words:
         if not len(pairs):
             return
         joined = pc.binary_join_element_wise(unique.take(pa.array(pairs // len(unique))), unique.take(pa.array(pairs % len(unique))), "")
-        at = at[self.parts.test(Outlines(joined))[1][which]]
+        reached, part = self.parts.test(Outlines(joined))
+        at = at[(reached | part)[which]]
         owner = np.searchsorted(offsets, at, "right") - 1
-        seen, runs = unique.to_pylist(), []
-        for a, end in zip(at.tolist(), offsets[owner + 1].tolist(), strict=True):
-            size, stop = 0, a
-            while stop < end and (stop == a or size + len(seen[codes[stop]]) <= RUN):
-                size += len(seen[codes[stop]])
-                stop += 1
-            runs.append((*[seen[c] for c in codes[a:stop].tolist()], stop < end))
-        for k in np.flatnonzero(self.parts.test(Outlines(pa.array(["".join(r[:-1]) for r in runs], pa.string())))[0]).tolist():
-            out[owner[k]].update(self._kept(self.of_run, runs[k], self._run))
+        # the piece after a text's last white space is empty
+        ends = offsets[owner + 1] - ~full[codes[offsets[owner + 1] - 1]]
+        seen, walked = unique.to_pylist(), ({}, {})
+        for a, end, o in zip(at.tolist(), ends.tolist(), owner.tolist(), strict=True):
+            if self._goes_on(seen, codes, a, end, walked):
+                out[o].update(self._word_from(seen, codes, a, end))
+
+    def _goes_on(self, seen: list[str], codes: np.ndarray, a: int, end: int, walked: tuple[dict, dict]) -> bool:
+        """Whether some reading of the pieces from ``a`` on comes by the end of a target after the first piece. Each piece with a
+        letter takes a step in the trie, so few are looked at. ``walked``: what two pieces lead to, what nodes at a place do."""
+        pairs, places = walked
+        pair, trail = (codes[a].item(), codes[a + 1].item()), []
+        if pair not in pairs:
+            nodes = self.parts.inside(self.parts.walk([self.parts.trie], seen[pair[0]])[0])
+            pairs[pair] = self.parts.walk(nodes, seen[pair[1]])
+        (nodes, reached), a = pairs[pair], a + 2
+        while not reached and nodes and a < end:
+            trail.append((a, *sorted(map(id, nodes))))
+            if trail[-1] in places:
+                reached = places[trail[-1]]
+                break
+            nodes, reached = self.parts.walk(nodes, seen[codes[a]])
+            a += 1
+        places.update(dict.fromkeys(trail, reached))
+        return reached
+
+    def _word_from(self, seen: list[str], codes: np.ndarray, a: int, end: int) -> tuple:
+        """The features of the word that the pieces from ``a`` on start with, read with as many pieces as decide it."""
+        size, found = RUN, None
+        while found is None:
+            pieces = [seen[c] for c in codes[a : min(a + size, end)].tolist()]
+            key, size = (*pieces, a + size < end), 2 * size
+            found = self._kept(self.of_run, key, self._run) if sum(map(len, pieces)) <= KEPT_RUN else self._run(key)
+        return found
+
+
+def _fewer_marks(unique: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces (codes) of texts (offsets) in which no more than ``ALIKE`` equal pieces of marks alone follow one another: as within
+    a piece, a longer run reads as so many."""
+    marks = pc.match_substring_regex(unique, r"\A[^\p{L}\p{N}]+\z").to_numpy(zero_copy_only=False)
+    place = np.arange(len(codes))
+    begins = np.append(True, (codes[1:] != codes[:-1]) | ~marks[codes[1:]])
+    begins[offsets[:-1][offsets[:-1] < len(codes)]] = True
+    keep = place - np.maximum.accumulate(np.where(begins, place, 0)) < ALIKE
+    return codes[keep], np.append(0, np.cumsum(keep))[offsets]
 
 
 def corpus_trigrams(df: DataFrame) -> np.ndarray:

@@ -644,6 +644,38 @@ def test_long_words_take_linear_time():
     assert time.time() - began < 30
 
 
+def test_words_that_spaces_part_are_read_whole():
+    r, rng = restorer(), np.random.default_rng(4)
+    # any feature, however many are stronger; words of any length in characters; pieces that are a feature and begin a longer one
+    found = toxicity.Words(r, {f"zq{i:03d}x$": i for i in range(300)} | {"stupid$": 300, "ass$": 301, "loser$": 302, "stupi": 303})
+    texts = ["st upid", "s" + "-" * 40 + " t u p i d", "l os " + "e" * 90 + " r here", "l " + "- _ " * 30 + "o s e r", "stupi d", "as s", "l" + " !" * 200 + " o s e r"]
+    assert found.texts(pa.array(texts)) == [{300, 303}, {300, 303}, {302}, {302}, {300, 303}, {301}, {302}]
+    # against the lattice over the whole text from every piece on, without gates
+    words = ["moron", "stupid", "loser", "ass", "idiot", "worthless", "the", "total", "us", "a"]
+    found = toxicity.Words(r, {f: i for i, f in enumerate(["moron$", "stupid$", "stupi", "loser$", "ass$", "idiot$", "worthl", "worthless$", "the$", "tot$"])})
+    for _ in range(400):
+        text = ""
+        for word in rng.choice(words, 4):
+            spaces, noise = rng.choice([0, 0.3, 1]), rng.random(len(word))
+            for c, u in zip(word, noise, strict=True):
+                look = [x for x, ys in toxicity.LOOKALIKES.items() if c in ys] or [c]
+                text += str(rng.choice(look)) if u < 0.1 else c * int(rng.choice([2, 40])) if u < 0.2 else c + str(rng.choice(["-", "!", "*_" * 20])) if u < 0.3 else c
+                text += " " * int(rng.random() < spaces) + "- | " * int(rng.random() < 0.03)
+            text += " "
+        pieces = text.split()
+        want = {i for p in pieces for i in found._piece(p)} | {i for a in range(len(pieces) - 1) for i in found._run((*pieces[a:], False))}
+        assert found.texts(pa.array([text])) == [want], text
+
+
+def test_many_parted_pieces_take_linear_time():
+    import time
+
+    found, began = toxicity.Words(restorer(), {"idiot$": 0, "ass$": 1, "loser$": 2}), time.time()
+    texts = ["i " * 300_000, "! " * 300_000 + "d i o t", "i d i o t " * 60_000, "l " + "- " * 300_000 + "oser", "a s " * 100_000, "| - " * 2000 + "o s e r", "x " + "l - _ * " * 2000]
+    assert [found.texts(pa.array([t]))[0] for t in texts] == [set(), {0}, {0}, {2}, set(), {2}, set()]
+    assert time.time() - began < 60
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     bad, data, labels = ["moron", "idiot", "scum"], [], []
